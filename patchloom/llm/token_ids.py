@@ -6,6 +6,8 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+
 from .bpe import PLAIN, WORDS, vocabulary
 from .common import Memo
 
@@ -18,15 +20,22 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # words are split and lower-cased already when they come here
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        tokens = self.library.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(1 + max(tokens.values()), dtype=bool)
+        self.is_end[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.memo, self.words = Memo(self.one, 1 << 18), Memo(self.one, 1 << 18)
 
-    def one(self, chunk: bytes) -> bytes:
-        return packed(self.library.encode(chunk.decode(), add_special_tokens=False).ids)
+    def one(self, chunk: bytes | str) -> bytes:
+        return packed(self.library.encode(chunk if isinstance(chunk, str) else chunk.decode(), add_special_tokens=False).ids)
 
     def learn(self, chunks: list[bytes]) -> None:
         """Remember the ids of chunks not seen before. Chunks of plain characters share the ids of their words."""
@@ -40,10 +49,24 @@ class LibraryEncoder:
             if len(m) + n > m.size:
                 m.old = dict(m)
                 m.clear()
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            known[w] = packed(e.ids)
+        easy = [w for w in new if PLAIN.fullmatch(w)]
+        for w in new if len(easy) < len(new) else ():
+            if not PLAIN.fullmatch(w):
+                known[w] = packed(self.library.encode(w, add_special_tokens=False).ids)
+        self.learn_words(easy)
         for c, words in plain.items():
-            memo[c] = b"".join([known.get(w) or known.old.get(w) or packed(self.library.encode(w, add_special_tokens=False).ids) for w in words])
+            memo[c] = b"".join(map(known.__getitem__, words))
+
+    def learn_words(self, words: list[str]) -> None:
+        """The library encodes many words at a time, each of which ends with a token that ends a word."""
+        lines = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for line, e in zip(lines, self.bare.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
+            if len(ends) != len(line):
+                raise ValueError("a word has no token that ends it")
+            data = ids.tobytes()
+            self.words.update(zip(line, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
