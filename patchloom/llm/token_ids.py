@@ -32,7 +32,7 @@ class LibraryEncoder:
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(1 + max(tokens.values()), dtype=bool)
         self.is_end[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
-        self.memo, self.words = Memo(self.one, 1 << 18), Memo(self.one, 1 << 18)
+        self.memo, self.words = Memo(self.one, 1 << 19), Memo(self.one, 1 << 18)
 
     def one(self, chunk: bytes | str) -> bytes:
         return packed(self.library.encode(chunk if isinstance(chunk, str) else chunk.decode(), add_special_tokens=False).ids)
@@ -71,13 +71,24 @@ class LibraryEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
+        known = memo.get
         for at in range(0, len(texts), 128):
-            split = [t.split() for t in texts[at : at + 128]]
-            new = [c for c in set().union(*split) if c not in memo and c not in memo.old and len(c) <= memo.longest]
+            found = []
+            missing: set[bytes] = set()
+            for t in texts[at : at + 128]:
+                words = t.split()
+                ids = [*map(known, words)]
+                if None in ids:
+                    missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
+                    found.append((words, None))
+                else:
+                    found.append((None, ids))
+            old = memo.old
+            new = [c for c in missing if c not in old and len(c) <= memo.longest]
             for k in range(0, len(new), 1 << 16):
                 self.learn(new[k : k + (1 << 16)])
-            for words in split:
-                yield b"".join(map(memo.__getitem__, words))
+            for words, ids in found:
+                yield b"".join(ids if words is None else map(memo.__getitem__, words))
 
 
 def packed(ids: list[int]) -> bytes:
