@@ -1,6 +1,7 @@
-"""The queries of the change-risk operators."""
+"""The queries of the change-risk operators with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
