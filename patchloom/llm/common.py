@@ -47,6 +47,13 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def crc32(text: Column) -> Column:
     """Unsigned crc32 of a text's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, stored
+from .common import map_batches, stored, unused
 
 #: Words in a run of repeated units that is removed.
 LEAST_WORDS = 25
@@ -75,7 +75,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), F.col("text").cast("binary").alias("text")).where("text is not null and text <> ''")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_key"), F.col("text").cast("binary").alias("text")).where("text is not null and text <> ''")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -118,15 +118,16 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     from pyspark.sql.types import ArrayType, LongType, StructType
 
+    key, held = unused(docs, "doc_key"), unused(docs, "places")
     places = repeats(docs)
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(places.select(F.col("doc_key").alias("_key"), F.col("places").alias("_places")), "_key", "left").drop("_key")
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(places.select(F.col("doc_key").alias(key), F.col("places").alias(held)), key, "left").drop(key)
     fields = [f for f in docs.schema.fields if f.name != "spans"]
     schema = StructType([*fields]).add("spans", ArrayType(ArrayType(LongType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, cut = [], []
-            for t, p in zip(b.column("text"), b.column("_places"), strict=True):
+            for t, p in zip(b.column("text"), b.column(held), strict=True):
                 text, places = t.as_py(), p.as_py()
                 gone: list[tuple[int, int]] = []
                 if text and places:

@@ -49,9 +49,9 @@ class LibraryEncoder:
             if len(m) + n > m.size:
                 m.old = dict(m)
                 m.clear()
-        easy = [w for w in new if PLAIN.fullmatch(w)]
+        easy = [w for w in new if "<" not in w and PLAIN.fullmatch(w)]
         for w in new if len(easy) < len(new) else ():
-            if not PLAIN.fullmatch(w):
+            if "<" in w or not PLAIN.fullmatch(w):
                 known[w] = packed(self.library.encode(w, add_special_tokens=False).ids)
         self.learn_words(easy)
         for c, words in plain.items():

@@ -192,9 +192,9 @@ class PivotTable:
         if self.wide or not np.abs(np.floor(1024.0 * v)).max(initial=0) < 2.0**52:
             w = np.array([exact(x) for x in v], dtype=object)
             rows = np.flatnonzero(self.ids != query)
-            scores = [sum(int(a) * int(b) for a, b in zip(self.data[r], w, strict=True)) for r in rows]
+            scores = [max(-INT64 - 1, min(INT64, sum(int(a) * int(b) for a, b in zip(self.data[r], w, strict=True)))) for r in rows]
             order = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
-            return rows[order], [max(-INT64 - 1, min(INT64, scores[i])) for i in order]
+            return rows[order], [scores[i] for i in order]
         w = np.floor(1024.0 * v)
         here = self.distances(w[None])[0]
         low = np.zeros(len(self.ids))
@@ -232,6 +232,6 @@ def exact_top(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = 3
     """Op 10. Per query its k highest integer inner products: query_id, rank, vec_id, score (long), exactly.
 
     Rows whose vec_id is divisible by ``every`` are queries. Null or non-finite vectors and null ids take no part;
-    vectors only meet those of their own dimension; scores beyond a long are held at its limits.
+    vectors only meet those of their own dimension; scores beyond a long are held at its limits and tie there.
     """
     return search(vectors, every, k, "long", False, lambda ids, data: PivotTable(ids, data, pivots), block)
