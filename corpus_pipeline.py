@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import jaccard, packing, substring, toxicity
-from patchloom.llm.common import scratch
+from patchloom.llm.common import scratch, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,11 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     joined = jaccard.join(docs)
     first = joined.groupBy("class_id").agg(F.min(F.struct("doc_id", "doc_key")).alias("f"))
     # a class of one is its own first; so only classes with links lose rows
-    kept = joined.join(first, "class_id").where((F.col("n_links") == 0) | (F.col("f.doc_key") == F.col("doc_key"))).select(F.col("doc_key").alias("_key"), F.col("n_links").alias("_links")).dropDuplicates(["_key"])
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(kept, "_key")
-    alone = rows.where("_links = 0").drop("_key", "_links")
-    return alone.unionByName(rows.where("_links > 0").dropDuplicates(["_key"]).drop("_key", "_links"))
+    key, links = unused(docs, "doc_key"), unused(docs, "n_links")
+    kept = joined.join(first, "class_id").where((F.col("n_links") == 0) | (F.col("f.doc_key") == F.col("doc_key"))).select(F.col("doc_key").alias(key), F.col("n_links").alias(links)).dropDuplicates([key])
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(kept, key)
+    alone = rows.where(F.col(links) == 0).drop(key, links)
+    return alone.unionByName(rows.where(F.col(links) > 0).dropDuplicates([key]).drop(key, links))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
