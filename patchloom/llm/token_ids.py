@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 from .bpe import PLAIN, WORDS, vocabulary
 from .common import Memo
 
+#: Plain chunks, one a line.
+LINES = re.compile(f"(?:{PLAIN.pattern}\\n?)*+")
+
 
 class LibraryEncoder:
     """White-space chunks are encoded by the library once and remembered in a bounded memo.
@@ -40,11 +45,12 @@ class LibraryEncoder:
     def learn(self, chunks: list[bytes]) -> None:
         """Remember the ids of chunks not seen before. Chunks of plain characters share the ids of their words."""
         memo, known = self.memo, self.words
-        plain = {}
-        for c in chunks:
-            text = c.decode()
-            plain[c] = WORDS.findall(text.lower()) if PLAIN.fullmatch(text) and "<" not in text else [text]
-        new = [w for w in set().union(*plain.values()) if w not in known and w not in known.old]
+        joined = b"\n".join(chunks).decode()
+        if "<" not in joined and LINES.fullmatch(joined):
+            found = [*map(WORDS.findall, joined.lower().split("\n"))]
+        else:
+            found = [WORDS.findall(t.lower()) if "<" not in t and PLAIN.fullmatch(t) else [t] for t in joined.split("\n")]
+        new = [w for w in {*chain.from_iterable(found)} if w not in known and w not in known.old]
         for m, n in ((memo, len(chunks)), (known, len(new))):
             if len(m) + n > m.size:
                 m.old = dict(m)
@@ -54,8 +60,8 @@ class LibraryEncoder:
             if "<" in w or not PLAIN.fullmatch(w):
                 known[w] = packed(self.library.encode(w, add_special_tokens=False).ids)
         self.learn_words(easy)
-        for c, words in plain.items():
-            memo[c] = b"".join(map(known.__getitem__, words))
+        ids = known.__getitem__
+        memo.update(zip(chunks, [ids(w[0]) if len(w) == 1 else b"".join(map(ids, w)) for w in found], strict=True))
 
     def learn_words(self, words: list[str]) -> None:
         """The library encodes many words at a time, each of which ends with a token that ends a word."""
