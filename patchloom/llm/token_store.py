@@ -32,7 +32,11 @@ def train(docs: DataFrame, vocab: str, sample_docs: int = 400, sample_chars: int
     """A dictionary fitted on a bounded sample: the sample_docs rows of least hash, at most sample_chars of each."""
     import zstandard
 
-    rows = docs.where("text is not null").select(F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("doc_id", F.lit(7)).alias("h")).orderBy("h").limit(sample_docs).select("text").collect()
+    h = F.xxhash64("doc_id", F.lit(7))
+    some = docs.where("text is not null")
+    # the hashes first, so that no task sends texts which another's replace
+    last = some.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = some.where(h <= last).select(F.substring("text", 1, sample_chars).alias("text")).limit(sample_docs).collect() if last is not None else []
     samples = [s for s in library(vocab).encode([r.text.encode() for r in rows]) if s]
     try:
         return zstandard.train_dictionary(size, samples, level=3).as_bytes()
