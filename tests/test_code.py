@@ -94,3 +94,31 @@ def test_dependencies(spark):
     got = {(r.rule_id, r.name, r.severity) for r in dependency_changes(files, imports).collect()}
     assert got == {("CG-DEP-001", "requests", "medium"), ("CG-DEP-002", "new-one", "low"), ("CG-DEP-003", "old", "high"), ("CG-DEP-004", "pin", "low")}
     assert dependency_changes(files.where(F.lit(False))).count() == 0
+
+
+def test_lint(spark):
+    from patchloom.sources.lint import diagnostics, new_diagnostics
+
+    text = "import pickle, yaml, requests as r, subprocess, time\nfrom os import system as run\ndef f(x=[], y=g()):\n    try:\n        run(x)\n    except:\n        pass\n    q = f'select a from {x}'\n    yaml.load(x); yaml.load(x, Loader=yaml.SafeLoader)\n    r.get(x); r.get(x, timeout=1, verify=False)\n    subprocess.run(x, shell=True)\n    if x is 'a': x == 1\nasync def g():\n    time.sleep(1)\nfor i in z:\n    h = lambda: i\n"
+    assert {(line, c) for line, c, _ in diagnostics(text)} == {(3, "B006"), (3, "B008"), (5, "S605"), (6, "E722"), (6, "S110"), (8, "S608"), (9, "S506"), (10, "S113"), (10, "S501"), (11, "S602"), (12, "F632"), (12, "B015"), (14, "ASYNC251"), (16, "B023")}
+    assert [c for _, c, _ in diagnostics("x = (")] == ["invalid-syntax"] and diagnostics("") == []
+    base, head = "import pickle\npickle.loads(a)\n", "import pickle\n\npickle.loads(a)\npickle.loads(a)\neval(b)\n"
+    files = spark.createDataFrame([("c", "base", "a.py", base), ("c", "head", "a.py", head), ("c", "head", "b.py", None)], FILES)
+    assert [(r.line, r.rule_id) for r in new_diagnostics(files).orderBy("line").collect()] == [(4, "RUFF-S301"), (5, "RUFF-S307")]
+
+
+def test_logic(spark):
+    from patchloom.plans.logic import logic_findings
+
+    patch = "--- a/a.py\n+++ b/a.py\n@@ -1,5 +1,5 @@\n-if n > 10:\n+if n >= 10:\n x\n-    total = a[i + 1]\n-    rename(old)\n+    total = a[i]\n+    rename(new)\n-def f(a=3):\n+def f(a=1):\n"
+    rows = logic_findings(diff_lines(spark.createDataFrame([("c", patch)], "change_id string, patch_text string"))).collect()
+    assert {(r.rule_id, r.start_line, r.severity, r.detail) for r in rows} == {("CG-LOG-001", 1, "medium", "> → >="), ("CG-LOG-002", 3, "medium", "+ 1 → ")}
+
+
+def test_untested(spark):
+    from patchloom.plans.tests_mapping import untested
+
+    lib = "def a():\n    return {0}\ndef b():\n    return _c()\ndef _c():\n    return {0}\ndef d():\n    return {0}\n"
+    test = "from lib import a, b\ndef test_a():\n    a()\n    b()\n"
+    files = [("c", s, p, t) for s, k in (("base", 1), ("head", 2)) for p, t in (("lib.py", lib.format(k)), ("test_lib.py", test))]
+    assert [(r.symbol, r.severity) for r in untested(indexed(spark.createDataFrame(files, FILES))).collect()] == [("d", "medium")]
