@@ -27,9 +27,9 @@ def matched_paths(files: DataFrame, reported: DataFrame) -> DataFrame:
 
 
 def changed_coverage(diff: DataFrame, coverage: DataFrame) -> DataFrame:
-    """change_id, path, line, hits of added lines that a report knows; coverage has change_id, path, line, hits."""
-    added = diff.where("kind = 'add'").select("change_id", "path", F.col("new_line").alias("line"))
-    report = coverage.withColumnRenamed("path", "cov_path")
+    """change_id, path, line, hits of added lines that a report knows (the most, where it repeats a line); coverage has change_id, path, line, hits."""
+    added = diff.where("kind = 'add'").select("change_id", "path", F.col("new_line").alias("line")).distinct()
+    report = coverage.groupBy("change_id", F.col("path").alias("cov_path"), "line").agg(F.max("hits").alias("hits"))
     return added.join(matched_paths(added, report), ["change_id", "path"]).join(report, ["change_id", "cov_path", "line"]).select("change_id", "path", "line", "hits")
 
 

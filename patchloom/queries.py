@@ -1,7 +1,6 @@
-"""The queries of the change-risk operators with their SQL."""
+"""All queries and their SQL; domain adds its own to the registry."""
 
-from __future__ import annotations
+from .plans import domain, registry
 
-from .plans.registry import ORACLE_SQL, QUERIES
-
-__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL
+__all__ = ["ORACLE_SQL", "QUERIES", "domain"]
