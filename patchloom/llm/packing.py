@@ -3,8 +3,8 @@
 Pieces are dealt into groups of bounded size by a hash of their own row, so that no document or source weighs on one
 task. Each group is packed by best fit, largest first, and improved by exchanges between underfull bins (move, one for
 one, two for one) that increase the sum of squared fills, which drains the emptiest bins. Bins still underfull after a
-round go on, with all their pieces, to a next round over fewer groups; the last round is a single group of bounded size
-or the round that brings nothing more.
+round go on, with all their pieces, to a next round over fewer groups; the last round is a single group of bounded size,
+the round after one that brought nothing more, or the eighth. It closes all of its bins, so every piece is placed.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .token_ids import library
 
 #: Pieces in a group on the mean, and a round's limit.
 GROUP = 4096
+#: Rounds of packing at most; the last one closes every bin, however full.
+ROUNDS = 8
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -151,10 +153,10 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
     schema = pa.schema([("row", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
     waiting, done, n = items.where(F.col("length") < capacity).select("row", "length"), [], 0
     before = None
-    for n in range(8):
+    for n in range(ROUNDS):
         count = waiting.count()
         n_groups = max(1, math.ceil(count / group))
-        last = n_groups == 1 or count == before
+        last = n_groups == 1 or count == before or n == ROUNDS - 1
         before = count
 
         def run(batches: Iterator[pa.RecordBatch], last: bool = last) -> Iterator[pa.RecordBatch]:

@@ -114,6 +114,13 @@ def test_packing(spark, docs, empty, library):
     assert len(fills) <= 1.02 * sum(f.n for f in fills) / 4096 + 2
 
 
+def test_packing_places_all_when_rounds_gain_little(spark):
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(np.random.default_rng(0).integers(1300, 3901, 5000))], "row long, length long")
+    packed = packing.pack(items, 4096, group=20)  # open pieces fall for over 20 rounds
+    fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert packed.select("row").distinct().count() == packed.count() == 5000 and max(f.n for f in fills) <= 4096
+
+
 def test_local_search_empties_bins():
     sizes = np.array([6, 3, 3, 5, 5, 2, 4, 2])
     start = [[0], [1, 2], [3], [4], [5, 6], [7]]
