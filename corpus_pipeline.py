@@ -18,13 +18,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five-word shingles, 0.8 or more) one row stays: the least doc_id, then hash.
 
-    Documents without words are classes of their own and stay.
+    Documents without words are classes of their own and stay, and so do unique texts under a null doc_id.
     """
-    joined = jaccard.join(docs)
-    first = joined.groupBy("class_id").agg(F.min(F.struct("doc_id", "doc_key")).alias("f"))
+    joined = jaccard.classes(docs)
+    first = joined.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("f"))
     # a class of one is its own first; so only classes with links lose rows
     key, links = unused(docs, "doc_key"), unused(docs, "n_links")
-    kept = joined.join(first, "class_id").where((F.col("n_links") == 0) | (F.col("f.doc_key") == F.col("doc_key"))).select(F.col("doc_key").alias(key), F.col("n_links").alias(links)).dropDuplicates([key])
+    kept = joined.join(first, "root").where((F.col("n_links") == 0) | (F.col("f.doc_key") == F.col("doc_key"))).select(F.col("doc_key").alias(key), F.col("n_links").alias(links)).dropDuplicates([key])
     rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(kept, key)
     alone = rows.where(F.col(links) == 0).drop(key, links)
     return alone.unionByName(rows.where(F.col(links) > 0).dropDuplicates([key]).drop(key, links))

@@ -322,3 +322,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
     # the copies of 6, the near copies 7 to 9 and the repeats of "one" go; no document without words goes
     assert sizes[0] == docs.count() and sizes[1] == sizes[2] == docs.count() - 7
     assert p.run(spark, str(tmp_path)).select("doc_id").distinct().count() > 0
+
+
+def test_near_duplicates_keep_null_ids(spark):
+    import corpus_pipeline as p
+
+    alone, shared = [" ".join(words(k, 40)) for k in (40, 41, 42)], " ".join(words(43, 40))
+    rows = [(None, t, 1) for t in [*alone, "", None, shared, shared + " end"]] + [(5, "one", 1), (5, "two", 1), (6, "two", 1)]
+    got = [r.text for r in p.one_of_each_class(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()]
+    assert sorted(t for t in got if t in alone) == sorted(alone) and "" in got and None in got
+    assert sum((t or "").startswith(shared) for t in got) == 1
+    # two classes may bear the same doc_id
+    assert got.count("one") == got.count("two") == 1
