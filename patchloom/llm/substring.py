@@ -4,7 +4,8 @@ A unit is a sentence of a line: it ends at a line end or after a word that ends
 words chosen by their hash, so that a passage is cut alike wherever it stands). Units are normalised to lower-case
 words, and their digests grouped over all documents. The earliest occurrence by (doc_id, place) is kept. Another is
 removed if it stands in a run of repeated units with at least ``least_words`` words in all, so single short lines that
-many documents share don't make holes in clean text. What is kept stays byte for byte, with its original offsets.
+many documents share don't make holes in clean text. A shorter run goes too if it has over 50 words with the units on
+either side, as a passage that starts and ends inside sentences has its first and last words in those. What is kept stays byte for byte, with its original offsets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored, unused
 
 #: Words in a run of repeated units that is removed.
-LEAST_WORDS = 25
+LEAST_WORDS = 12
+#: Words of a passage, beyond which a shorter run that it may lie around is removed as well.
+PASSAGE = 50
 #: Words of a unit after which it is cut at a word chosen by hash.
 LONG = 24
 UNIT = re.compile(rb"[^\n.!?]*(?:[.!?]+(?![\s])[^\n.!?]*)*(?:[.!?]+[ \t\r\f\v]*|\n|\Z)")
@@ -92,20 +95,18 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def spans(text: bytes, places: set[int], least_words: int) -> list[tuple[int, int]]:
-    """The byte ranges to remove: runs of repeated units with enough words."""
+    """The byte ranges to remove: runs of repeated units with enough words, by themselves or with the units beside."""
     out: list[tuple[int, int]] = []
     run: list[tuple[int, int]] = []
-    words = 0
-    for k, (a, z, _, w) in enumerate(units(text)):
+    words = before = 0
+    for k, (a, z, _, w) in enumerate([*units(text), (len(text), len(text), 0, 0)]):
         if k in places:
             run.append((a, z))
             words += w
             continue
-        if run and words >= least_words:
+        if run and (words >= least_words or before + words + w > PASSAGE):
             out.append((run[0][0], run[-1][1]))
-        run, words = [], 0
-    if run and words >= least_words:
-        out.append((run[0][0], run[-1][1]))
+        run, words, before = [], 0, w
     return out
 
 

@@ -210,6 +210,18 @@ def test_substring(spark, docs, empty):
         assert all(a < z for a, z, _, _ in substring.units((t or "").encode()))
 
 
+def test_substring_cuts_passages_between_partial_units(spark):
+    def cut(passage):
+        rows = [(i, f"{' '.join(words(10 + i, 3))} {passage} {' '.join(words(20 + i, 3))}.", 1) for i in range(2)]
+        return substring.dedup(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).where("doc_id = 1").first().text
+
+    # only the middle is whole units
+    for ends, mid in ((20, 15), (21, 9)):
+        assert " ".join(words(31, mid)) not in cut(f"{' '.join(words(30, ends))}. {' '.join(words(31, mid))}. {' '.join(words(32, ends))}")
+    # a short line between short ones stays
+    assert "Same here." in cut("own. Same here. And")
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(9)
     rows = []
