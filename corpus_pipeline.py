@@ -16,18 +16,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five-word shingles, 0.8 or more) one row stays: the least doc_id, then hash.
+    """Of each class of near duplicates (five-word shingles, 0.8 or more) one row stays: the least doc_id, then hash; null doc_ids are last.
 
     Documents without words are classes of their own and stay, and so do unique texts under a null doc_id.
     """
     joined = jaccard.classes(docs)
-    first = joined.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("f"))
+    first = joined.where("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k1", "k2")).alias("f"))
     # a class of one is its own first; so only classes with links lose rows
-    key, links = unused(docs, "doc_key"), unused(docs, "n_links")
-    kept = joined.join(first, "root").where((F.col("n_links") == 0) | (F.col("f.doc_key") == F.col("doc_key"))).select(F.col("doc_key").alias(key), F.col("n_links").alias(links)).dropDuplicates([key])
-    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(kept, key)
-    alone = rows.where(F.col(links) == 0).drop(key, links)
-    return alone.unionByName(rows.where(F.col(links) > 0).dropDuplicates([key]).drop(key, links))
+    k1, k2, links = (unused(docs, c) for c in ("k1", "k2", "n_links"))
+    own = (F.col("n_links") == 0) | ((F.col("f.k1") == F.col("k1")) & (F.col("f.k2") == F.col("k2")))
+    kept = joined.join(first, "root", "left").where(own).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("n_links").alias(links)).dropDuplicates([k1, k2])
+    rows = jaccard.keyed(docs, k1, k2).join(kept, [k1, k2])
+    alone = rows.where(F.col(links) == 0).select(docs.columns)
+    return alone.unionByName(rows.where(F.col(links) > 0).dropDuplicates([k1, k2]).select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

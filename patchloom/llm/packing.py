@@ -26,6 +26,8 @@ from .token_ids import library
 GROUP = 4096
 #: Rounds of packing at most; the last one closes every bin, however full.
 ROUNDS = 8
+#: Bins that give their pieces away in a step of the search: the emptiest ones.
+GIVERS = 64
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -68,7 +70,7 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, rounds
         if len(order) < 2:
             break
         gained = False
-        givers = order[len(order) // 2 :][-64:]  # the emptiest bins are the ones to drain
+        givers = order[len(order) // 2 :][-GIVERS:]  # the emptiest bins are the ones to drain
         where = sorted((size[i], i, b) for b in givers for i in bins[b])
         for b in order:
             room = capacity - fill[b]
@@ -151,10 +153,11 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
     """
     full = items.where(F.col("length") >= capacity).select("*", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     schema = pa.schema([("row", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
-    waiting, done, n = items.where(F.col("length") < capacity).select("row", "length"), [], 0
-    before = None
+    waiting, done = items.where(F.col("length") < capacity).select("row", "length"), []
+    before = total = None
     for n in range(ROUNDS):
         count = waiting.count()
+        total = count if total is None else total
         n_groups = max(1, math.ceil(count / group))
         last = n_groups == 1 or count == before or n == ROUNDS - 1
         before = count
@@ -181,6 +184,8 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
     placed = done[0]
     for d in done[1:]:
         placed = placed.union(d)
+    if (n_placed := placed.count()) != total:
+        raise RuntimeError(f"{total} pieces came in and {n_placed} were placed")
     return full.unionByName(items.join(placed.select("row", "sequence_id", "offset"), "row").select(full.columns))
 
 
