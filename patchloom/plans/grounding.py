@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PATH = r"(?<![\w/.-])((?:[\w.-]+/)*[\w-]+\.(?:py|pyi|js|jsx|ts|tsx|sql|toml|json|ya?ml|txt|cfg|env))(?![\w/])"
+from ..sources.archive import SUFFIXES
+
 LINE = r"(?i)\blines?\s+(\d+)"
 PERCENT = r"(\d+(?:\.\d+)?\s?%)"
-SYMBOL = r"`([A-Za-z_][\w.]*)`"
 VERB = r"\b(pass(es|ed)?|fail(s|ed)?|succeed(s|ed)?|broke)\b"
 RESULT = r"\b(tests?|ci|suite)\b[^.]{0,40}" + VERB
 #: A word of doubt up to 25 characters before the result, within it, or a condition after it.
 HEDGED = rf"(?i)\b(may|might|could|would|should|if|whether|likely)\b[^.]{{0,25}}({RESULT}|{VERB})|{RESULT}[^.]{{0,25}}\b(if|unless|when)\b"
 #: How far from a cited range a line may be, and what share of samples has to agree (fixed values).
 SLACK, AGREEMENT = 3, 0.5
+#: What ends a word of a claim; a dot at a word's end is the sentence's.
+BREAK = r"[\s`'\"()\[\]{}<>,;:!?]+"
+
+
+def named_paths(text: Column) -> Column:
+    """The words of a text that name a file: they end in the suffix of a text file, with something before it."""
+    words = F.transform(F.split(text, BREAK), lambda w: F.rtrim(w, F.lit(".")))
+    return F.array_distinct(F.filter(words, lambda w: (F.instr(w, "://") == 0) & F.concat(F.lit("."), F.lower(F.element_at(F.split(w, r"\."), -1))).isin(*sorted(SUFFIXES)) & w.rlike(r"[\w-]\.\w+$")))
+
+
+def named_symbols(text: Column) -> Column:
+    """The last part of each dotted name that stands alone between back-ticks, a call's brackets aside; paths aren't names."""
+    quoted = F.filter(F.split(text, "`"), lambda x, i: i % 2 == 1)
+    bare = F.transform(quoted, lambda x: F.regexp_replace(x, r"\(\)$", ""))
+    names = F.filter(bare, lambda x: F.forall(F.split(x, r"\."), lambda part: part.rlike(r"^[^\W\d]\w*$")))
+    return F.transform(F.array_except(names, named_paths(text)), lambda x: F.element_at(F.split(x, r"\."), -1))
 
 
 def verified(claims: DataFrame, evidence: DataFrame, paths: DataFrame, findings: DataFrame) -> DataFrame:
@@ -35,7 +51,7 @@ def verified(claims: DataFrame, evidence: DataFrame, paths: DataFrame, findings:
         )
     )
     every = paths.select("change_id", F.explode(F.array("path", F.element_at(F.split("path", "/"), -1))).alias("p")).distinct()
-    said = claims.select("change_id", "claim_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATH), 1))).alias("p"))
+    said = claims.select("change_id", "claim_id", F.explode(named_paths(text)).alias("p"))
     stray = said.join(every, ["change_id", "p"], "left_anti").select("change_id", "claim_id").distinct().withColumn("stray", F.lit(True))
     orphan = claims.where("target is not null").join(findings.select("change_id", F.col("id").alias("target")), ["change_id", "target"], "left_anti").select("change_id", "claim_id").withColumn("orphan", F.lit(True))
     all_of = claims.join(cited, ["change_id", "claim_id"], "left").join(stray, ["change_id", "claim_id"], "left").join(orphan, ["change_id", "claim_id"], "left")
@@ -43,7 +59,6 @@ def verified(claims: DataFrame, evidence: DataFrame, paths: DataFrame, findings:
     numbers = F.transform(F.regexp_extract_all(text, F.lit(LINE), 1), lambda n: n.try_cast("int"))
     off = F.exists(numbers, lambda n: ~F.exists("spans", lambda s: n.between(s["start_line"] - SLACK, s["end_line"] + SLACK)))
     percents = lambda c: F.transform(F.regexp_extract_all(c, F.lit(PERCENT), 1), lambda x: F.replace(x, F.lit(" "), F.lit("")))
-    symbols = F.transform(F.regexp_extract_all(text, F.lit(SYMBOL), 1), lambda x: F.element_at(F.split(x, r"\."), -1))
     words = F.regexp_extract_all(corpus, F.lit(r"([A-Za-z_]\w*)"), 1)
     normal = F.lower(F.regexp_replace(text, r"\s+", " "))
     of_text = Window.partitionBy("change_id", "target", F.xxhash64(normal), normal)
@@ -52,6 +67,6 @@ def verified(claims: DataFrame, evidence: DataFrame, paths: DataFrame, findings:
         F.when(text == "", "empty_text"), F.when(F.size(ids) == 0, "no_evidence"), F.when(F.col("n_unknown") > 0, "unknown_evidence"), F.when(F.col("orphan"), "unknown_finding"),
         F.when(F.col("target").isNull() & ~F.coalesce("placed", F.lit(False)), "no_location"), F.when(F.col("stray"), "unknown_path"), F.when((F.size("spans") > 0) & off, "line_out_of_range"),
         F.when(F.size(F.array_except(percents(text), percents(corpus))) > 0, "unsupported_number"), F.when(text.rlike(f"(?i){RESULT}") & ~text.rlike(HEDGED), "claims_test_result"),
-        F.when(F.size(F.array_except(symbols, words)) > 0, "symbol_not_in_evidence"), F.when(F.col("agree") / F.greatest(F.coalesce("samples", F.lit(1)), F.lit(1)) < AGREEMENT, "low_agreement"), F.when(F.col("nth") > 1, "duplicate"),
+        F.when(F.size(F.array_except(named_symbols(text), words)) > 0, "symbol_not_in_evidence"), F.when(F.col("agree") / F.greatest(F.coalesce("samples", F.lit(1)), F.lit(1)) < AGREEMENT, "low_agreement"), F.when(F.col("nth") > 1, "duplicate"),
     )
     return counted.select(*[F.col(c) for c in claims.columns], reason.alias("reason"))

@@ -29,6 +29,14 @@ class LineRule:
     once: bool = False  #: one finding a file
 
 
+#: A sentence that sets earlier instructions aside, tells a machine reader what to do, or speaks of the system prompt.
+OVERRIDE = "|".join((
+    r"(?i)\b(ignore|skip|drop|forget|override|disregard|don't follow|do not follow)\b[^.\n]{0,24}\b(instruction|prompt|rule|guideline|direction)s?\b[^.\n]{0,24}\b(above|before|so far|earlier|previously)\b",
+    r"\b(ignore|skip|drop|forget|override|disregard)\b[^.\n]{0,24}\b(previous|prior|earlier|above|former|old)\b[^.\n]{0,12}\b(instruction|prompt|rule|guideline|direction)s?\b",
+    r"\b(model|ai|llm|bot)s?\b[^.\n]{0,40}\b(must|should|has to|have to|needs? to)\b[^.\n]{0,24}\b(approve|accept|ignore|skip|pass|merge)\b",
+    r"\bsystem\s+prompt\b",
+))
+
 #: Identifiers, categories and severities. The patterns are this package's own.
 RULES = (
     LineRule("CG-SEC-001", "Code is evaluated", "security", "deterministic", "high", "high", f"{PY}|{JS}", r"(?<![\w.])(eval|exec)\s*\(|\bnew\s+Function\s*\(|\bset(Timeout|Interval)\s*\(\s*['\"`]"),
@@ -47,14 +55,14 @@ RULES = (
     LineRule("CG-TST-002", "A test is skipped", "test_integrity", "deterministic", "medium", "high", f"{PY}|{JS}", r"\b(it|test|describe)\.skip\s*\(|\bx(it|describe|test)\s*\(|@(pytest\.mark|unittest)\.(skip|skipif|xfail)|\bpytest\.skip\s*\(", tests=True),
     LineRule("CG-TST-003", "Only one test runs", "test_integrity", "deterministic", "high", "high", JS, r"\b(it|test|describe)\.only\s*\(|\bf(it|describe)\s*\(", tests=True),
     LineRule("CG-MIG-001", "Data is dropped or rewritten", "data_migration", "deterministic", "high", "high", MIGRATION_PATH, r"(?i)^(?!\s*(--|#)).*\b(drop\s+(table|column|database|schema)|truncate\s+table|rename\s+(column|to)|op\.drop_(column|table)|removefield|deletemodel|renamefield|delete\s+from\s+\w+\s*;)"),
-    LineRule("CG-AIS-001", "Text addressed to a model", "prompt_injection", "deterministic", "medium", "high", ANY, r"(?i)\b(ignore|disregard|forget)\s+(all\s+|any\s+)?(the\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules)|\b(ai|llm)\s+(reviewer|assistant|agent)s?\b.*\b(approve|ignore|skip|must|should)\b|\bsystem\s+prompt\b", once=True),
+    LineRule("CG-AIS-001", "Text addressed to a model", "prompt_injection", "deterministic", "medium", "high", ANY, OVERRIDE, once=True),
 )
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 SECRET = next(r.pattern for r in RULES if r.id == "CG-SEC-010")
 
 
 def redacted(text: Column) -> Column:
-    """The text with every secret as its first four characters and stars."""
+    """The text with four stars for every secret."""
     return F.regexp_replace(text, f"({SECRET})", "****")
 
 
