@@ -42,7 +42,7 @@ STEPS = {
 }
 PATTERNS = ("insult", "targeted insult", "repeated insult", "negated insult", "reported insult", "threat", "targeted threat", "negated threat", "reported threat")
 #: What a pattern weighs without evidence, in log odds (fixed values); labels move it.
-PRIOR = {"insult": 0.0, "targeted insult": 0.5, "repeated insult": 1.0, "negated insult": -0.5, "reported insult": -0.5, "threat": -1.0, "targeted threat": 0.0, "negated threat": -2.0, "reported threat": -2.0}
+PRIOR = {"insult": 0.0, "targeted insult": 0.5, "repeated insult": 1.0, "negated insult": -0.5, "reported insult": -0.5, "threat": 1.5, "targeted threat": 3.0, "negated threat": 0.0, "reported threat": 0.5}
 STEMS = range(4, 7)
 #: The log odds ratio that a form needs, and by how much the log likelihood ratio of its toxic rows must exceed what
 #: the best of as many forms reaches by chance. A stem needs so many words, none of them with most of its rows.
@@ -130,20 +130,21 @@ def learn(rows: list[tuple[str, int]]) -> Grammar:
         for p in {p for p, _ in grammar.clauses(text)}:
             seen[p][y] += 1
     base = math.log((n[1] + 1) / (n[0] + 1))
-    # half of the evidence is the insult's own; a pattern moves by what is left, within bounds
-    patterns = {p: max(-4.0, min(4.0, PRIOR[p] + 0.5 * (math.log(seen[p][1] / seen[p][0]) - base))) if sum(seen[p]) > 12 else PRIOR[p] for p in PATTERNS}
+    # half of an insult's evidence is the word's own, a threat's is all its pattern's; a pattern moves by it, within bounds
+    share = {p: 1.0 if p.endswith("threat") else 0.5 for p in PATTERNS}
+    patterns = {p: max(-4.0, min(4.0, PRIOR[p] + share[p] * (math.log(seen[p][1] / seen[p][0]) - base))) if sum(seen[p]) > 12 else PRIOR[p] for p in PATTERNS}
     return Grammar(insults, patterns, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, chars: int = 10000) -> Grammar:
-    """Fitted on the ``sample`` labelled rows of least hash, ``chars`` of each: a bounded sample, for learning only.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Grammar:
+    """Fitted on the whole texts of the ``sample`` labelled rows of least hash: a bounded sample, for learning only.
 
     Rows whose crc32 of doc_id as text leaves 1 by 3 are held out. Unlabelled rows and null texts teach nothing; without
     labels nothing is toxic. A doc_id with both labels counts as toxic.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).where("text is not null")
+    texts = docs.select("doc_id", "text").where("text is not null")
     rows = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
     return learn([(r.text, r.toxic) for r in rows.toLocalIterator()])
 
