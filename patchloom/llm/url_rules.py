@@ -1,9 +1,10 @@
 """Op 3: URL filters. Association rules over URL token combinations, mined by FP-growth from labelled URLs, behind a
 list of explicit host and path rules.
 
-Mined rules are pruned by support and confidence and looked up through an inverted index from token to rules. Their
-number has a bound: a frequent token set has the least support, no URL has more than ``MOST_TOKENS`` tokens that count
-for mining, and antecedents have at most ``MOST_ITEMS`` of the frequent tokens.
+Tokens that stand in exactly the same labelled URLs are one item to the mining and stand for each other in its rules, so
+long paths and hosts that always go together don't multiply the item sets, and no rule is lost. Rules are pruned by
+support and confidence, kept if no rule with fewer tokens is within them, and looked up through an inverted index from
+token to rules. At most (tokens of a URL / support) tokens are frequent; these go to the driver and to the tasks.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches
+from .common import batch, map_batches, stored
 
 #: The explicit rules of the query: verdict, host, path (fixed values).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BLOCK = "label=block"
-MOST_ITEMS = 4
+#: Labelled URLs that a rule needs at least: fewer agree by chance.
+LEAST_ROWS = 10
 TOKEN = re.compile(r"[^/?#&=.\-_:]+")
 
 
@@ -31,6 +33,8 @@ class Mined:
     tokens: tuple[str, ...]
     confidence: float
     support: float
+    #: For each token those that stood in just the same labelled URLs, itself among them.
+    alike: tuple[tuple[str, ...], ...] = ()
 
 
 def after_scheme(url: Column) -> Column:
@@ -78,49 +82,68 @@ def token_column(pages: DataFrame) -> DataFrame:
     return map_batches(pages.select("page_id", "_host", "_path", "label", "url"), run, "page_id long, _host string, _path string, label string, items array<string>")
 
 
+def alike(rows: DataFrame, least: float) -> dict[str, tuple[str, ...]]:
+    """The tokens of at least so many rows, under the first of those that stand in the same rows. rows: row, items.
+
+    The same rows are told by their count and two sums of 64-bit hashes of their numbers.
+    """
+    each = rows.select("row", F.explode(F.array_distinct("items")).alias("t"))
+    sums = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k in (1, 2)]
+    common = each.groupBy("t").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least)
+    out: dict[tuple, list[str]] = defaultdict(list)
+    for r in common.collect():
+        out[r.n, r.s1, r.s2].append(r.t)
+    return {min(ts): tuple(sorted(ts)) for ts in out.values()}
+
+
 def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.7) -> list[Mined]:
     """Rules ``tokens => block`` from rows of ``items`` and ``label`` (block or allow). No labels, no rules.
 
-    Tokens below the support are removed before FP-growth, and a row's items are cut to the combinations of its rarest
-    frequent tokens only by the length of antecedents, so a row of many tokens can't blow up.
+    A rule holds for ``support`` of the labelled rows, or ``LEAST_ROWS`` of them where that is more.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.where("label in ('block', 'allow')").select("items", "label")
+    # numbered once and written, so that a row keeps its number
+    rows = stored(labelled.where("label in ('block', 'allow')").select(F.monotonically_increasing_id().alias("row"), "items", "label"), "labelled-urls")
     n = rows.count()
-    if not n:
-        return []
-    common = rows.select(F.explode(F.array_distinct("items")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, support * n))
-    frequent = {r.t for r in common.collect()}  # at most tokens of a URL / support
-    if not frequent:
+    least = max(LEAST_ROWS, support * n)
+    classes = alike(rows, least) if n else {}
+    if not classes:
         return []
-    kept = F.filter(F.array_distinct("items"), lambda t: t.isin(sorted(frequent)[:1]) if len(frequent) == 1 else F.array_contains(F.array(*map(F.lit, sorted(frequent))), t))
-    baskets = rows.select(F.when(F.col("label") == "block", F.array_append(kept, BLOCK)).otherwise(kept).alias("items")).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=max(support, 2 / n), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).where(F.size("antecedent") <= MOST_ITEMS)
-    rules = [Mined(tuple(sorted(r.antecedent)), r.confidence, r.support) for r in found.select("antecedent", "confidence", "support").collect()]
+    frequent = rows.sparkSession.sparkContext.broadcast(frozenset(classes))
+    schema = pa.schema([("items", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [[t for t in dict.fromkeys(i) if t in frequent.value] + [BLOCK] * (y == "block") for i, y in zip(b.column("items").to_pylist(), b.column("label").to_pylist(), strict=True)]
+            yield batch(schema, {"items": [i for i in kept if i]})
+
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=confidence).fit(map_batches(rows.select("items", "label"), run, "items array<string>"))
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", "support").collect()
     # a rule adds nothing to one with fewer tokens that it contains
-    rules.sort(key=lambda r: (len(r.tokens), r.tokens))
     out: list[Mined] = []
-    for r in rules:
-        if not any(set(o.tokens) <= set(r.tokens) for o in out):
-            out.append(r)
+    for r in sorted(found, key=lambda r: (len(r.antecedent), sorted(r.antecedent))):
+        tokens = tuple(sorted(r.antecedent))
+        if not any(set(o.tokens) <= set(tokens) for o in out):
+            out.append(Mined(tokens, r.confidence, r.support, tuple(classes[t] for t in tokens)))
     return out
 
 
 class RuleIndex:
-    """Inverted index from token to rules; a rule matches once all its tokens were met."""
+    """Inverted index from token to rules; a rule matches once each of its tokens, or one alike, was met."""
 
     def __init__(self, rules: list[Mined]):
         self.rules = rules
         self.posted: dict[str, list[int]] = defaultdict(list)
+        self.first: dict[str, str] = {}
         for i, r in enumerate(rules):
-            for t in r.tokens:
+            for t, same in zip(r.tokens, r.alike or [(t,) for t in r.tokens], strict=True):
                 self.posted[t].append(i)
+                self.first.update(dict.fromkeys(same, t))
 
     def match(self, items: list[str]) -> Mined | None:
         """The matching rule of highest confidence; ties to the shorter and then the first in order."""
-        met = Counter(i for t in items for i in self.posted.get(t, ()))
+        met = Counter(i for t in {self.first[t] for t in items if t in self.first} for i in self.posted[t])
         full = [i for i, n in met.items() if n == len(self.rules[i].tokens)]
         return min((self.rules[i] for i in full), key=lambda r: (-r.confidence, len(r.tokens), r.tokens), default=None)
 
@@ -129,7 +152,8 @@ def judged(pages: DataFrame, rules: tuple = RULES, support: float = 0.002, confi
     """Per page: page_id, host, path, rule, verdict, mined. pages have page_id, url, label (block, allow or null).
 
     The longest explicit rule decides; elsewhere a page is blocked if a mined rule matches and allowed otherwise. Null
-    urls and urls without ``://`` have empty host and path and are allowed. Repeated rows each give a row.
+    urls and urls without ``://`` have empty host and path and are allowed. Repeated rows each give a row. A rule's tokens
+    are found wherever they stand in a long URL, as all its tokens are read.
     """
     rows = token_column(with_parts(pages.withColumn("page_id", F.col("page_id").cast("long"))))
     index = RuleIndex(mine(rows, support, confidence))

@@ -357,6 +357,15 @@ def test_grammar_reads_clauses():
     kinds = {s: [p for p, _ in g.clauses(s)] for s in ("you bozo", "not bozo", "he said bozo", "a bozo", "fine. kill you", "nothing here")}
     assert kinds == {"you bozo": ["targeted insult"], "not bozo": ["negated insult"], "he said bozo": ["reported insult"], "a bozo": ["insult"], "fine. kill you": ["targeted threat"], "nothing here": []}
     assert g.score("you bozo") > g.score("he said bozo")
+    # a threat counts, most at someone; negated it doesn't, and reported it counts less
+    by = [g.score(s) for s in ("kill you", "kill it", "he said kill", "not kill")]
+    assert by == sorted(by, reverse=True) and by[0] > 5 * by[3] and by[3] == g.score("hello")
+
+
+def test_grammar_learns_from_whole_texts(spark):
+    rows = [(i, "filler " * 3000 + ("you bozo." if i % 4 == 0 else "good day.") + f" word{i}number", int(i % 4 == 0)) for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert "bozo" in toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic")).insults
 
 
 def test_urls(spark):
@@ -385,6 +394,15 @@ def test_urls(spark):
     assert url_rules.judged(pages.limit(0)).count() == 0
 
 
+def test_urls_of_many_tokens_that_go_together(spark):
+    path = "/".join(f"part{i}" for i in range(40))
+    rows = [(i, f"http://a.test/{path if i % 2 else 'x/y'}/n{i}", "block" if i % 2 else "allow") for i in range(80)]
+    rows.append((100, "http://a.test/part0/other", None))
+    got = {r.page_id: (r.verdict, r.mined) for r in url_rules.judged(spark.createDataFrame(rows, "page_id long, url string, label string"), support=0.05).collect()}
+    assert {got[i][0] for i in range(1, 80, 2)} == {"block"} and {got[i][0] for i in range(0, 80, 2)} == {"allow"}
+    assert got[100][0] == "block"  # one of the tokens that always went together stands for all
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = np.random.default_rng(10)
