@@ -319,6 +319,34 @@ def test_substring(spark, docs, empty):
         assert all(a < z for a, z, _, _ in substring.units((t or "").encode()))
 
 
+@pytest.mark.parametrize("hot", [substring.HOT, 3])
+def test_substring_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)  # which units are broadcast changes nothing
+    rng = random.Random(hot)
+    pool = [" ".join(words(100 + k, rng.randrange(2, 20))) + "." for k in range(30)]
+    rows = [(None if i == 5 else i % 55, " ".join(["Common line here."] * rng.randrange(3) + [rng.choice(pool) if rng.random() < 0.6 else " ".join(words(1000 + 9 * i + k, 6)) + "." for k in range(rng.randrange(9))])) for i in range(60)]
+    rows += rows[7:9] + [(70, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = {(r.doc_id, r.text): (r.doc_id if r.doc_id is not None else 2**63 - 1, r.k) for r in docs.select("*", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    # the earliest place of each normalised unit, by (doc_id, hash, place)
+    first = {}
+    split = {d: [" ".join(data[a:z].decode().lower().rstrip(" .").split()) for a, z, _, _ in substring.units(data)] for d in key if d[1] for data in [d[1].encode()]}
+    for d, found in split.items():
+        for n, u in enumerate(found):
+            first[u] = min(first.get(u, (key[d], n)), (key[d], n))
+    want = {}
+    for d in key:
+        places = {n for n, u in enumerate(split.get(d, [])) if first[u] != (key[d], n)}
+        gone = substring.spans((d[1] or "").encode(), places, substring.LEAST_WORDS)
+        kept, at = b"", 0
+        for a, z in gone:
+            kept, at = kept + (d[1] or "").encode()[at:a], z
+        want[d] = (None if d[1] is None else (kept + d[1].encode()[at:]).decode(), [list(x) for x in gone])
+    got = sorted((repr((r.doc_id, r.text, r.spans)) for r in substring.dedup(docs).collect()))
+    assert got == sorted(repr((d[0], *want[d])) for d in rows)
+    assert any(w[1] for w in want.values())
+
+
 def test_substring_cuts_passages_between_partial_units(spark):
     def cut(passage):
         rows = [(i, f"{' '.join(words(10 + i, 3))} {passage} {' '.join(words(20 + i, 3))}.", 1) for i in range(2)]
