@@ -68,6 +68,10 @@ def lookahead(merges: list[tuple[str, str]]) -> int:
     return most
 
 
+#: What bytes.split() splits at.
+BLANK = re.compile(rb"[ \t\n\r\x0b\f]")
+
+
 class Transducer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -182,9 +186,18 @@ class Transducer:
             found = [bytes(map(back.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         return b"".join(map(self.words.__getitem__, found))
 
+    def pieces(self, text: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, for about ``step`` bytes of text at once, cut at white space."""
+        at = 0
+        while at < len(text):
+            cut = BLANK.search(text, at + step) if len(text) - at > step else None
+            end = cut.start() if cut else len(text)
+            yield b"".join(map(self.chunks.__getitem__, text[at:end].split()))
+            at = end
+
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        """All ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(self.pieces(text))
 
 
 class Decoder:
@@ -212,13 +225,6 @@ class Decoder:
                 first = False
         yield state.decode(b"", True)
 
-    def digest(self, ids: np.ndarray, step: int = 1 << 16) -> str:
-        """sha256 of the decoded text's UTF-8, without holding the text."""
-        h = hashlib.sha256()
-        for s in self.pieces(ids[i : i + step] for i in range(0, len(ids), step)):
-            h.update(s.encode())
-        return h.hexdigest()
-
 
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
@@ -239,6 +245,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def digests(enc: Transducer, dec: Decoder, text: bytes, step: int = 1 << 16) -> tuple[int, str, str]:
+    """Number of tokens, sha256 of the ids and of the decoded text; ids and decoded text are held a piece at a time."""
+    n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+
+    def ids() -> Iterator[np.ndarray]:
+        nonlocal n
+        for piece in enc.pieces(text, step):
+            ids_hash.update(piece)
+            n += len(piece) // 4
+            yield np.frombuffer(piece, dtype="<u4")
+
+    for part in dec.pieces(ids()):
+        text_hash.update(part.encode())
+    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+
+
 def roundtrip(docs: DataFrame, vocab: str = "word_bpe_49k.json") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -252,11 +274,10 @@ def roundtrip(docs: DataFrame, vocab: str = "word_bpe_49k.json") -> DataFrame:
         for b in batches:
             rows: dict[str, list] = {"doc_id": b.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in b.column("text"):
-                data = enc.encode(text.as_py() or b"")
-                ids = np.frombuffer(data, dtype="<u4")
-                rows["n_tokens"].append(len(ids))
-                rows["ids_sha256"].append(hashlib.sha256(data).hexdigest())
-                rows["decoded_sha256"].append(dec.digest(ids))
+                n, ids_hash, text_hash = digests(enc, dec, text.as_py() or b"")
+                rows["n_tokens"].append(n)
+                rows["ids_sha256"].append(ids_hash)
+                rows["decoded_sha256"].append(text_hash)
             yield batch(out, rows)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -69,6 +69,15 @@ def test_transducer_windows(library):
         assert np.frombuffer(t.encode(s.encode()), "<u4").tolist() == ids_of(library, s)
 
 
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 16])
+def test_pieces_of_a_text(library, step):
+    enc, dec = bpe.transducer(bpe.vocabulary(VOCAB)), bpe.decoder(bpe.vocabulary(VOCAB))
+    for t in texts():
+        ids = ids_of(library, t)
+        want = (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert bpe.digests(enc, dec, (t or "").encode(), step) == want
+
+
 def test_token_store(spark, docs, empty, library):
     path = scratch(spark, "test-store")
     token_store.write(docs, path, VOCAB, block_bytes=2000)
