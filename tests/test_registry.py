@@ -35,6 +35,17 @@ def test_same_as_sql(spark, con, name):
     assert plain([tuple(r[names.index(c)] for c in cols) for r in rel.fetchall()]) == plain([tuple(r[c] for c in cols) for r in df.collect()])
 
 
+def test_rate_window_rounds_as_sql_does(spark, tmp_path):
+    times = ["00:00:00.6", "00:00:01.5", "00:00:02.5", "00:00:03", "00:00:03.4999995", None]
+    days = [(1, "2024-01-01"), (1, "2024-01-02"), (2, "1969-12-30"), (2, "1969-12-31"), (None, "2024-01-01"), (None, "2024-01-02")]
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, user_id bigint, ts timestamp)")
+    con.executemany("insert into events values (?, ?, ?)", [(10 * k + i, user, t and f"{day} {t}") for k, (user, day) in enumerate(days) for i, t in enumerate(times)])
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = [tuple(r) for r in QUERIES["rate_window_24h"](spark, str(tmp_path)).select("event_id", "n_day").collect()]
+    assert len(got) == 36 and plain(got) == plain(con.execute(ORACLE_SQL["rate_window_24h"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
