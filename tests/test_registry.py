@@ -46,6 +46,18 @@ def test_rate_window_rounds_as_sql_does(spark, tmp_path):
     assert len(got) == 36 and plain(got) == plain(con.execute(ORACLE_SQL["rate_window_24h"]).fetchall())
 
 
+def test_contract_sides_are_not_sent_to_the_driver(spark):
+    # less than the parsed files take, more than the plan would take them for by the size of part
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        plan = QUERIES["api_contract"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.catalog.clearCache()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
