@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 from patchloom.operators import matching
 from patchloom.sources.coverage import coverage_lines
@@ -55,6 +56,30 @@ def test_greedy_dedup_is_not_transitive(spark):
     assert {r.id: r.kept_id for r in got} == {"a": "a", "b": "a", "d": "d"}
 
 
+def test_greedy_dedup_like_a_plain_loop(spark):
+    rng = random.Random(5)
+    span = lambda: None if rng.random() < 0.05 else rng.randint(1, 60)
+    groups = [(f"c{k % 150}", None if k < 9 else "k", "f", f"s{k // 150}") for k in range(600)]
+    # many small groups, one of many kept findings; empty ids, nulls, and spans that end before they start
+    rows = [(*g, rng.choice([None, 1, 2, 3]), rng.choice(["", f"i{k}-{n}"]), lo, span() if rng.random() < 0.2 else lo and lo + rng.randint(0, 20)) for k, g in enumerate(groups) for n in range(rng.randint(1, 7)) for lo in [span()]]
+    rows += [("c", "k", "f", "s", n, f"x{n}", lo, lo + rng.choice([0, 3, 400])) for n in range(2000) for lo in [rng.randint(0, 9000)]]
+    schema = "change_id string, category string, file string, side string, ord long, id string, lo long, hi long"
+    last = lambda x: (x is None, x or 0)
+    want, kept = [], {}
+    for r in sorted(rows, key=lambda r: (last(r[4]), r[5], last(r[6]), last(r[7]))):
+        held = kept.setdefault(r[:4], [])
+        hit = None if None in r[6:] else next((i for i, lo, hi in held if r[6] <= hi and lo <= r[7]), None)
+        if hit is None:
+            held += [] if None in r[6:] else [(r[5], r[6], r[7])]
+            hit = r[5]
+        want.append((*r, hit))
+    got = matching.greedy_dedup(spark.createDataFrame(rows, schema).repartition(5))
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    # a call into Python for each small group took its time
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert matching.greedy_dedup(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_stream_state(spark, tmp_path):
     from patchloom.streaming.events import current_state, hourly, read
 
