@@ -159,11 +159,19 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def sketch_edges(found: DataFrame, survivors: bool = False) -> DataFrame:
+def agreeing(one: np.ndarray, size: int, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the other sketches that agree with one."""
+    some = ((other > 0) | (one > 0)).sum(axis=1)
+    agree = ((other == one) & (one > 0)).sum(axis=1)
+    return np.flatnonzero((agree >= SKETCH_LEAST * some) & (np.minimum(sizes, size) >= 0.79 * np.maximum(sizes, size)))
+
+
+def sketch_edges(found: DataFrame, survivors: bool = False, apart: bool = False) -> DataFrame:
     """Edges (u, v, late) of a spanning forest of each path's sets whose sketches agree.
 
     found: path, part, late, rep, n, sketch. With ``survivors`` each tree's least set also gives a row (u, u, late) and
-    its path, for it to meet those of the path's other parts.
+    its path, for it to meet those of the path's other parts. With ``apart`` rows marked ``first`` meet only the part's
+    other rows, and of them only those of another root.
     """
     schema = pa.schema([("path", pa.int64()), ("late", pa.bool_()), ("u", pa.int64()), ("v", pa.int64())])
 
@@ -183,14 +191,18 @@ def sketch_edges(found: DataFrame, survivors: bool = False) -> DataFrame:
             rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
             s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype="u1").reshape(len(rep), BINS)
             left, right = [np.empty(0, dtype="i8")], [np.empty(0, dtype="i8")]
-            for i in range(len(rep) - 1):
-                other = s[i + 1 :]
-                some = ((other > 0) | (s[i] > 0)).sum(axis=1)
-                agree = ((other == s[i]) & (s[i] > 0)).sum(axis=1)
-                near = (agree >= SKETCH_LEAST * some) & (np.minimum(n[i + 1 :], n[i]) >= 0.79 * np.maximum(n[i + 1 :], n[i]))
-                j = np.flatnonzero(near) + i + 1
-                left.append(np.full(len(j), i))
-                right.append(j)
+            if apart:
+                root, first = t.column("root").to_numpy(), t.column("first").to_numpy()
+                for r in np.unique(root[first]):
+                    j = np.flatnonzero(~first & (root != r))
+                    met, size_j = s[j], n[j]
+                    for i in np.flatnonzero(first & (root == r)):
+                        right.append(j[agreeing(s[i], n[i], met, size_j)])
+                        left.append(np.full(len(right[-1]), i))
+            else:
+                for i in range(len(rep) - 1):
+                    right.append(agreeing(s[i], n[i], s[i + 1 :], n[i + 1 :]) + i + 1)
+                    left.append(np.full(len(right[-1]), i))
             root = roots(len(rep), np.concatenate(left), np.concatenate(right))
             at = np.arange(len(rep)) if survivors else np.flatnonzero(root != np.arange(len(rep)))
             held.append((np.full(len(at), t.column("path")[0].as_py()), np.full(len(at), t.column("late")[0].as_py()), rep[at], rep[root[at]]))
@@ -286,7 +298,8 @@ def final_paths(body: DataFrame, small: int) -> DataFrame:
 
 def edges_of(body: DataFrame, small: int) -> DataFrame:
     """u, v, late: what the sets of each final path have as sketch edges. A path of over ``PART`` sets meets in parts by
-    hash; the least sets of the parts' trees meet again, in pairs of parts if they are still too many for one."""
+    hash; the least sets of the parts' trees meet again, in pairs of parts if they are still too many for one. Then all
+    sets of the path that are still in different components meet, so no edge between components is left out."""
     found = stored(final_paths(body, small).join(body.select("rep", "n", "sketch"), "rep"), "final-paths")
     few = found.where(F.col("size") <= PART).withColumn("part", F.lit(0).cast("long"))
     edges = sketch_edges(spread(few, found.count(), ["path", "part"])).select("u", "v", "late")
@@ -302,7 +315,31 @@ def edges_of(body: DataFrame, small: int) -> DataFrame:
     own = left.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.least(x, F.col("own")) * F.col("parts") + F.greatest(x, F.col("own"))))
     again = sketch_edges(spread(own.withColumn("part", pair), left.count(), ["path", "part"])).select("u", "v", "late")
-    return stored(edges.union(first.where("u <> v").select("u", "v", "late")).union(again), "edges")
+    edges = stored(edges.union(first.where("u <> v").select("u", "v", "late")).union(again), "edges")
+    rest = between(many, alive, components(edges.select("u", "v"), "path-graph"))
+    n_rest = rest.count()
+    return stored(edges.union(sketch_edges(spread(rest, n_rest, ["path", "part"]), apart=True).select("u", "v", "late")), "edges") if n_rest else edges
+
+
+def between(many: DataFrame, alive: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the paths that hold several components: the sets outside the largest, marked ``first``, meet every set.
+
+    Both sides are dealt into parts by hash, and each pair of parts meets in one place, so its size is bounded. A path
+    whose sets are all ``alive`` has met in full already.
+    """
+    root = comps.select(F.col("node").alias("rep"), "root")
+    placed = stored(many.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
+    by_root = placed.groupBy("path", "root").agg(F.count("*").alias("k"))
+    ways = by_root.groupBy("path").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("total"), F.count("*").alias("roots"))
+    ways = ways.join(alive.groupBy("path").agg(F.count("*").alias("alive")), "path").where("roots > 1 and alive < total")
+    ways = ways.select("path", F.col("most.root").alias("main"), F.ceil((F.col("total") - F.col("most.k")) / PART).alias("firsts"), F.ceil(F.col("total") / PART).alias("seconds"))
+    rows = placed.join(ways, "path")
+    cell = lambda i, j: i * F.col("seconds") + j
+    own = lambda salt, c: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(c))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    keep = ["path", "late", "rep", "n", "sketch", "root"]
+    one = rows.where("root <> main").select(*keep, F.lit(True).alias("first"), F.explode(F.transform(upto("seconds"), lambda j: cell(own(2, "firsts"), j))).alias("part"))
+    return one.unionByName(rows.select(*keep, F.lit(False).alias("first"), F.explode(F.transform(upto("firsts"), lambda i: cell(i, own(4, "seconds")))).alias("part")))
 
 
 def grown(comps: DataFrame, edges: DataFrame) -> tuple[DataFrame, float]:

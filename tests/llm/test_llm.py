@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels, on small awkward tables."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -260,6 +261,21 @@ def test_jaccard(spark, docs, empty, monkeypatch):
     assert jaccard.join(empty).count() == 0
 
 
+def test_large_paths_lose_no_edge(spark, monkeypatch):
+    # chains whose neighbours alone are near, and texts without a like, all on one path of many parts
+    monkeypatch.setattr(jaccard, "PART", 48)
+    texts = [" ".join(f"w{c}-{k}" for k in range(40 * n, 40 * n + 400)) for c in range(7) for n in range(16)] + [" ".join(words(900 + k, 300)) for k in range(9)]
+    sets = [jaccard.Shingler()(t) for t in texts]
+    body = [(k, len(t), bytearray(jaccard.sketch(t)), [(False, 77, [])]) for k, t in enumerate(sets)]
+    edges = jaccard.edges_of(spark.createDataFrame(body, f"rep long, n int, sketch binary, tree {jaccard.TREE_SQL}"), 1000).collect()
+    x, y = (np.array([e[k] for e in edges], dtype="i8") for k in "uv")
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert len(pairs) >= 7 * 15
+    got = jaccard.roots(len(sets), x, y)
+    assert [(a, b) for a, b in pairs if got[a] != got[b]] == []
+    assert len(set(got.tolist())) == 7 + 9
+
+
 def test_jaccard_at_production_parameters(spark):
     """Many small groups and one large one of near copies, very long texts, and a line that all share."""
     rng = random.Random(16)
