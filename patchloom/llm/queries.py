@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 by the names that the driver runs, with production parameters."""
+"""The queries of this subpackage: op1 to op13 by the names that the driver runs, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, sharding, substring, token_store, toxicity, url_rules, vectors
+from . import bpe, jaccard, lexical, packing, sharding, substring, token_store, toxicity, url_rules, vectors
 from .common import scratch
 
 VOCAB = "word_bpe_49k.json"
@@ -59,7 +59,11 @@ def op10_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_permutation_index, op3_url_rules, op4_shards, op5_jaccard_join, op6_toxicity, op7_substring_dedup, op8_bpe_roundtrip, op9_packing, op10_pivot_table)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_permutation_index, op3_url_rules, op4_shards, op5_jaccard_join, op6_toxicity, op7_substring_dedup, op8_bpe_roundtrip, op9_packing, op10_pivot_table, op13_ranked_search)}
 
 #: floor(1024 x) and sums of products are whole doubles here, so the exact search is plain SQL.
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +74,13 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_ranked_search": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+             g AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+             p AS (SELECT doc_id, term, 10 + (90 * CAST(len AS BIGINT) * g.n) // g.l AS m, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d), g GROUP BY ALL),
+             w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(g.n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY term),
+             s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) GROUP BY ALL),
+             r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
