@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import finding_id
-from ..sources.python_code import part
+from ..sources.code import language
+from ..sources.tables import kept
+from .references import references, resolved_imports
+from .renames import renames, with_renames
 
 
 def symbol_changes(index: DataFrame) -> DataFrame:
@@ -19,96 +21,113 @@ def symbol_changes(index: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null")
 
 
-def module_names(paths: DataFrame) -> DataFrame:
-    """change_id, path to every dotted suffix of its module; one that two files share names neither."""
-    parts = F.split(F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.pyi?$", ""), "^/", ""), "/")
-    each = paths.select("change_id", "path", parts.alias("p")).select("change_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", k, F.size("p")), "."))).alias("module"))
-    return each.groupBy("change_id", "module").agg(F.min("path").alias("target"), F.count_distinct("path").alias("n")).where("n = 1").drop("n")
-
-
-def references(index: DataFrame) -> DataFrame:
-    """Calls of the head that imports or the file itself resolve: change_id, target, symbol, path and the call's fields."""
-    head = index.where("side = 'head'")
-    calls, imports = part(head, "calls"), part(head, "imports")
-    names = module_names(index.select("change_id", "path").distinct())
-    resolved = imports.where("level = 0").join(names, ["change_id", "module"]).select("change_id", "path", "local_name", "imported_name", "target", "module")
-    by_name = calls.where("receiver is null").join(resolved.where("imported_name is not null and imported_name <> '*'").withColumnRenamed("local_name", "name"), ["change_id", "path", "name"]).withColumn("symbol", F.col("imported_name"))
-    by_module = calls.join(resolved.where("imported_name is null").withColumn("receiver", F.when(F.col("module").startswith(F.concat(F.col("local_name"), F.lit("."))), F.col("module")).otherwise(F.col("local_name"))), ["change_id", "path", "receiver"]).withColumn("symbol", F.col("name"))
-    local = calls.where("receiver is null").join(resolved.select("change_id", "path", F.col("local_name").alias("name")), ["change_id", "path", "name"], "left_anti").withColumn("target", F.col("path")).withColumn("symbol", F.col("name"))
-    keep = ["change_id", "target", "symbol", "path", "line", "end_line", "callee", "positional", "keywords", "star_args", "star_kwargs", "awaited", "enclosing"]
-    return by_name.select(keep).unionByName(by_module.select(keep)).unionByName(local.select(keep))
-
-
-def call_problem(ps: Column) -> Column:
-    """Why a call can't be bound to the parameters, or null: missing, surplus or unknown arguments."""
+def call_problem(ps: Column, language_of: Column) -> Column:
+    """Why a call can't be bound to the parameters, or null. A call that spreads arguments can't be judged."""
     kind = lambda *k: F.filter(ps, lambda p: p["kind"].isin(*k))
+    name = lambda p: p["name"]
     places, named = kind("positional_only", "positional"), kind("positional", "keyword_only")
-    # the first positional parameters are taken by position, so only the rest need their keyword
-    taken = F.transform(F.slice(places, 1, F.greatest(F.col("positional"), F.lit(1))), lambda p: p["name"])
-    taken = F.when(F.col("positional") > 0, taken).otherwise(F.array().cast("array<string>"))
-    needed = F.transform(F.filter(ps, lambda p: ~p["has_default"] & ~p["kind"].isin("var_positional", "var_keyword")), lambda p: p["name"])
-    missing = F.array_except(F.array_except(needed, taken), "keywords")
-    unknown = F.array_except("keywords", F.transform(named, lambda p: p["name"]))
-    surplus = (F.col("positional") > F.size(places)) & (F.size(kind("var_positional")) == 0)
-    return (
-        F.when(surplus, F.format_string("takes %d positional arguments but %d are given", F.size(places), F.col("positional")))
+    none = F.array().cast("array<string>")
+    taken = F.when(F.col("positional") > 0, F.transform(F.slice(places, 1, F.greatest(F.col("positional"), F.lit(1))), name)).otherwise(none)
+    rest = F.filter(ps, lambda p: ~p["has_default"] & ~p["kind"].isin("var_positional", "var_keyword"))
+    given = F.coalesce("keywords", none)
+    missing = F.array_except(F.array_except(F.transform(rest, name), taken), given)
+    unknown = F.array_except(given, F.transform(named, name))
+    twice = F.array_intersect(F.array_intersect(given, taken), F.transform(named, name))
+    open_ended = F.size(kind("var_positional")) > 0
+    surplus = F.when((F.col("positional") > F.size(places)) & ~open_ended, F.format_string("takes %d positional arguments but %d are given", F.size(places), F.col("positional")))
+    python = (
+        F.when(surplus.isNotNull(), surplus)
         .when((F.size(unknown) > 0) & (F.size(kind("var_keyword")) == 0), F.concat(F.lit("unexpected keyword argument "), F.array_join(unknown, ", ")))
-        .when((F.size(missing) > 0) & ~F.col("star_args") & ~F.col("star_kwargs"), F.concat(F.lit("missing argument "), F.array_join(missing, ", ")))
+        .when(F.size(twice) > 0, F.concat(F.lit("multiple values for argument "), F.array_join(twice, ", ")))
+        .when(F.size(missing) > 0, F.concat(F.lit("missing argument "), F.array_join(missing, ", ")))
     )
+    # scripts may pass fewer or more: too few break a call, too many only where types are checked
+    needed = F.size(F.filter(ps, lambda p: ~p["has_default"] & (p["kind"] != "var_positional")))
+    script = F.when(F.col("positional") < needed, F.format_string("needs %d arguments but %d are given", needed, F.col("positional"))).when(language_of == "typescript", surplus)
+    return F.when(F.coalesce("star_args", F.lit(False)) | F.coalesce("star_kwargs", F.lit(False)), F.lit(None)).when(language_of == "python", python).otherwise(script)
+
+
+def removed_modules(index: DataFrame, imports: DataFrame) -> DataFrame:
+    """Head imports of files that only the base has: change_id, path (of the file), r_path, r_line.
+
+    What the head resolves isn't meant; the rest is resolved as if the base's files were still there.
+    """
+    paths = index.select("change_id", "path", "side").groupBy("change_id", "path").agg(F.max(F.col("side") == "head").alias("stays"))
+    gone = paths.where("not stays").select("change_id", "path")
+    # only changes that lose a file have anything to resolve
+    lossy = index.join(gone.select("change_id").distinct(), "change_id", "left_semi")
+    as_before = resolved_imports(lossy, paths=lossy.select("change_id", "path").distinct())
+    at = ["change_id", "path", "line", "local_name"]
+    left = as_before.join(imports.select(at), at, "left_anti")
+    return left.select("change_id", F.col("target").alias("path"), F.col("path").alias("r_path"), F.col("line").alias("r_line")).join(gone, ["change_id", "path"], "left_semi")
 
 
-def contract_findings(index: DataFrame) -> DataFrame:
+def contract_findings(index: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """CG-API-001 to 007, SYN-001, ERR-002, TST-004, TST-005 and CPX-001 as findings with the lines that show them.
 
-    change_id, id, rule_id, severity, file, start_line, symbol, detail, evidence (sorted, distinct ``path:line``).
+    change_id, id, rule_id, severity, confidence, file, start_line, symbol, detail, evidence (sorted, distinct
+    ``path:line``). files (change_id, side, path, text) bring path aliases of scripts.
     """
+    # sides are as large as the parsed files, but files compress so well that a plan by their size would broadcast them
+    index = index.hint("merge")
     errors = index.groupBy("change_id", "path").agg(F.max(F.when(F.col("side") == "base", F.col("error"))).alias("b"), F.max(F.when(F.col("side") == "head", F.col("error"))).alias("detail"), F.max(F.when(F.col("side") == "head", F.col("error_line"))).alias("start_line"))
     # a side that doesn't parse has no symbols, which doesn't mean that they were removed
     readable = errors.where("detail is null and b is null").select("change_id", "path")
-    # every rule reads the changes, and three the uses: kept, as a plan that repeats them takes much of the driver's memory
-    changes = symbol_changes(index).join(readable, ["change_id", "path"], "left_semi").persist(StorageLevel.DISK_ONLY)
-    plain = changes.where("coalesce(old.parent, new.parent) is null")
-    refs = references(index)
+    # every rule reads the changes, and three the uses: written once, as a plan that repeats them takes much of the driver's memory
+    raw = kept(symbol_changes(index).join(readable, ["change_id", "path"], "left_semi"), "symbol-changes").hint("merge")
+    changes = kept(with_renames(raw, kept(renames(raw), "renames")), "named-changes").hint("merge")
+    imports = kept(resolved_imports(index, files), "imports").hint("merge")
+    refs = kept(references(index, imports), "references").hint("merge")
     old, new = F.col("old"), F.col("new")
     at = F.concat_ws(":", "r_path", "r_line")
-    uses = refs.select("change_id", F.col("target").alias("path"), F.col("symbol").alias("qualname"), F.col("path").alias("r_path"), F.col("line").alias("r_line"), "positional", "keywords", "star_args", "star_kwargs", "awaited").persist(StorageLevel.DISK_ONLY)
-    functions = plain.where("change = 'modified' and new.params is not null and old.params is not null")
-    used = functions.join(uses, ["change_id", "path", "qualname"])
+    uses = refs.select("change_id", F.col("target").alias("path"), F.col("symbol").alias("qualname"), F.col("path").alias("r_path"), F.col("line").alias("r_line"), "kind", "resolution", "drop_first", "positional", "keywords", "star_args", "star_kwargs", "awaited")
+    functions = changes.where("change = 'modified' and new.params is not null and old.params is not null")
+    calls = uses.where("kind = 'call'")
+    used = functions.join(calls, ["change_id", "path", "qualname"])
     key = ["change_id", "path", "qualname"]
+    sure = F.max(F.col("resolution") == "resolved")
 
-    def grouped(rows: DataFrame, rule: str, severity: str, detail: Column, line: Column) -> DataFrame:
-        return rows.groupBy(*key).agg(F.min(line).alias("start_line"), F.min(detail).alias("detail"), F.sort_array(F.collect_set(at)).alias("evidence")).withColumn("rule_id", F.lit(rule)).withColumn("severity", F.lit(severity))
+    def grouped(rows: DataFrame, rule: str, severity: Column, detail: Column, line: Column) -> DataFrame:
+        return rows.groupBy(*key).agg(F.min(line).alias("start_line"), F.min(detail).alias("detail"), F.sort_array(F.collect_set(at)).alias("evidence"), severity.alias("severity"), F.when(sure, "high").otherwise("medium").alias("confidence")).withColumn("rule_id", F.lit(rule))
 
     def single(rows: DataFrame, rule: str, severity: Column | str, detail: Column, line: Column) -> DataFrame:
-        return rows.select(*key, line.alias("start_line"), detail.alias("detail"), F.array().cast("array<string>").alias("evidence"), F.lit(rule).alias("rule_id"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))
+        return rows.select(*key, line.alias("start_line"), detail.alias("detail"), F.array().cast("array<string>").alias("evidence"), F.lit(rule).alias("rule_id"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), F.lit("medium").alias("confidence"))
 
     changed = F.to_json(old["params"]) != F.to_json(new["params"])
-    broken = used.where(changed).withColumn("problem", call_problem(F.col("new.params"))).where("problem is not null")
-    api1 = grouped(broken, "CG-API-001", "high", F.col("problem"), new["start_line"])
+    ps = F.when(F.col("drop_first"), F.slice("new.params", 2, F.greatest(F.size("new.params"), F.lit(1)))).otherwise(F.col("new.params"))
+    broken = used.where(changed).withColumn("ps", ps).withColumn("problem", call_problem(F.col("ps"), language(F.col("path")))).where("problem is not null")
+    # a guess by name alone is graded lower where no type checker would stop it
+    graded = F.when(sure | F.max(language(F.col("path")) == "typescript"), "high").otherwise("medium")
+    api1 = grouped(broken, "CG-API-001", graded, F.col("problem"), new["start_line"])
     required = lambda s: F.transform(F.filter(s["params"], lambda p: ~p["has_default"] & ~p["kind"].isin("var_positional", "var_keyword")), lambda p: p["name"])
     names = lambda s: F.transform(s["params"], lambda p: p["name"])
     breaking = (F.size(F.array_except(names(old), names(new))) > 0) | (F.size(F.array_except(required(new), required(old))) > 0)
-    api3 = single(functions.where(breaking & new["exported"]).join(api1.select(key), key, "left_anti"), "CG-API-003", "medium", F.lit("parameters changed incompatibly"), new["start_line"])
-    api4 = grouped(used.where("new.is_async and not old.is_async and not awaited"), "CG-API-004", "high", F.lit("the caller doesn't await"), new["start_line"])
+    api3 = single(functions.where(breaking & new["exported"] & old["parent"].isNull()).join(api1.select(key), key, "left_anti"), "CG-API-003", "medium", F.lit("parameters changed incompatibly"), new["start_line"])
+    api4 = grouped(used.where("new.is_async and not old.is_async and not awaited and resolution = 'resolved'"), "CG-API-004", F.lit("high"), F.lit("the caller doesn't await"), new["start_line"])
     defaults = F.filter(F.arrays_zip(names(new), F.transform(new["params"], lambda p: p["default"])), lambda x: F.exists(old["params"], lambda o: (o["name"] == x["0"]) & o["has_default"] & (o["default"] != x["1"])))
     api5 = single(functions.withColumn("d", defaults).where(F.size("d") > 0), "CG-API-005", "medium", F.concat(F.lit("default of "), F.col("d")[0]["0"], F.lit(" changed")), new["start_line"])
     retyped = F.exists(new["params"], lambda p: F.exists(old["params"], lambda o: (o["name"] == p["name"]) & (o["annotation"] != p["annotation"]))) | (old["returns"] != new["returns"])
     api6 = single(functions.where(retyped), "CG-API-006", "low", F.lit("annotations changed"), new["start_line"])
-    gone = plain.where("change = 'removed'")
-    imports = part(index.where("side = 'head'"), "imports").where("level = 0 and imported_name is not null").join(module_names(index.select("change_id", "path").distinct()), ["change_id", "module"])
-    still = uses.select(*key, "r_path", "r_line").unionByName(imports.select("change_id", F.col("target").alias("path"), F.col("imported_name").alias("qualname"), F.col("path").alias("r_path"), F.col("line").alias("r_line")))
-    api2 = grouped(gone.join(still, key), "CG-API-002", "critical", F.lit("removed but still used"), old["start_line"])
+    # a renamed symbol is gone under its old name
+    was = changes.where("change in ('removed', 'renamed')").withColumn("qualname", F.col("old.qualname"))
+    gone = changes.where("change = 'removed' and old.parent is null")
+    still = was.join(uses.where(F.col("resolution") == "resolved"), key)
+    critical = F.when(F.max(F.col("kind") == "import"), "critical").otherwise("high")
+    detail = F.when(F.col("change") == "renamed", F.concat(F.lit("renamed to "), F.col("new.qualname"), F.lit(" but still used"))).otherwise("removed but still used")
+    api2 = grouped(still, "CG-API-002", critical, detail, old["start_line"])
+    lost = removed_modules(index, imports)
+    api2m = lost.groupBy("change_id", "path").agg(F.sort_array(F.collect_set(at)).alias("evidence")).select("change_id", "path", F.lit(None).cast("string").alias("qualname"), F.lit(None).cast("int").alias("start_line"), F.lit("the file is gone but still imported").alias("detail"), "evidence", F.lit("CG-API-002").alias("rule_id"), F.lit("critical").alias("severity"), F.lit("high").alias("confidence"))
     api7 = single(gone.where("old.exported and old.kind <> 'test' and (old.kind <> 'variable' or upper(old.name) = old.name)").join(api2.select(key), key, "left_anti"), "CG-API-007", "low", F.lit("a public symbol was removed"), old["start_line"])
     bodies = changes.where("change = 'modified' and new.params is not null")
     fell = lambda f: old[f] > new[f]
     err2 = single(bodies.where(fell("try_blocks")), "CG-ERR-002", "medium", F.lit("fewer try blocks"), new["start_line"])
     tst4 = single(bodies.where(fell("assertions") & (new["kind"] == "test")), "CG-TST-004", "medium", F.lit("fewer assertions"), new["start_line"])
     tests = changes.where("change = 'removed' and old.kind = 'test'").groupBy("change_id", "path").agg(F.min("old.start_line").alias("start_line"), F.array_join(F.sort_array(F.collect_list("qualname")), ", ").alias("detail"))
-    tst5 = tests.select("change_id", "path", F.lit(None).cast("string").alias("qualname"), "start_line", "detail", F.array().cast("array<string>").alias("evidence"), F.lit("CG-TST-005").alias("rule_id"), F.lit("medium").alias("severity"))
+    tst5 = tests.select("change_id", "path", F.lit(None).cast("string").alias("qualname"), "start_line", "detail", F.array().cast("array<string>").alias("evidence"), F.lit("CG-TST-005").alias("rule_id"), F.lit("medium").alias("severity"), F.lit("high").alias("confidence"))
     more = ((new["complexity"] >= 10) & (new["complexity"] - old["complexity"] >= 4)) | (old.isNull() & (new["complexity"] >= 15))
     cpx = single(changes.where(more & new["params"].isNotNull()), "CG-CPX-001", "low", F.format_string("complexity %d", new["complexity"]), new["start_line"])
-    syn = errors.where("detail is not null and b is null").select("change_id", "path", F.lit(None).cast("string").alias("qualname"), "start_line", "detail", F.array().cast("array<string>").alias("evidence"), F.lit("CG-SYN-001").alias("rule_id"), F.lit("critical").alias("severity"))
+    syn = errors.where("detail is not null and b is null").select("change_id", "path", F.lit(None).cast("string").alias("qualname"), "start_line", "detail", F.array().cast("array<string>").alias("evidence"), F.lit("CG-SYN-001").alias("rule_id"), F.lit("critical").alias("severity"), F.lit("high").alias("confidence"))
     out = None
-    for rows in (api1, api2, api3, api4, api5, api6, api7, err2, tst4, tst5, cpx):
+    for rows in (api1, api2, api2m, api3, api4, api5, api6, api7, err2, tst4, tst5, cpx):
         out = rows if out is None else out.unionByName(rows)
-    return out.unionByName(syn).select("change_id", finding_id(F.col("rule_id"), F.col("path"), F.col("start_line"), F.col("qualname")).alias("id"), "rule_id", "severity", F.col("path").alias("file"), "start_line", F.col("qualname").alias("symbol"), "detail", "evidence")
+    return out.unionByName(syn).select("change_id", finding_id(F.col("rule_id"), F.col("path"), F.col("start_line"), F.col("qualname")).alias("id"), "rule_id", "severity", "confidence", F.col("path").alias("file"), "start_line", F.col("qualname").alias("symbol"), "detail", "evidence")

@@ -6,14 +6,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators.patch_apply import head_files
 from ..sources.archive import snapshot_files
 from ..sources.diff import diff_lines
 from ..sources.python_code import indexed, part
-from ..sources.tables import table
+from ..sources.tables import kept, table
 from . import coverage_gaps, evaluation, grounding, report
 from .api_contract import contract_findings
 from .line_rules import dependency_changes, line_findings
@@ -72,10 +71,8 @@ def part_files(spark, sf_dir):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS change_id, CASE WHEN p_partkey % 3 = 0 THEN 'CG-API-001' ELSE 'CG-API-005' END AS rule_id, 'm/lib.py' AS file, 'f' || p_partkey AS symbol, CASE WHEN p_partkey % 3 = 0 THEN 'use.py:2' ELSE '' END AS evidence FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
 def api_contract(spark, sf_dir):
     """J6, J9, J12, X11, X12, CG-API: callers that no longer fit a changed signature."""
-    # every rule reads the index, so files are parsed once, by all cores; lost blocks are parsed again
-    index = indexed(part_files(spark, sf_dir).repartition("change_id")).persist(StorageLevel.DISK_ONLY)
-    # joins are planned by the index's true size: by the size of the table it comes from, its sides would be sent to the driver
-    index.count()
+    # every rule reads the index, so files are parsed once, by all cores; each then reads the columns that it needs
+    index = kept(indexed(part_files(spark, sf_dir).repartition("change_id")), "code-index")
     return contract_findings(index).select("change_id", "rule_id", "file", "symbol", F.array_join("evidence", ",").alias("evidence"))
 
 

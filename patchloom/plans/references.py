@@ -67,12 +67,12 @@ def names(paths: DataFrame) -> DataFrame:
     return whole.unionByName(suffix).unionByName(scripts)
 
 
-def resolved_imports(index: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def resolved_imports(index: DataFrame, files: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """Head imports with the file they mean: change_id, path, line, local_name, imported_name, kind, module, target, refers.
 
     refers is ``module`` if the local name stands for the file, ``symbol`` if for something in it. Each import has ranked
     candidates; of those that exist the least rank wins. Imports of files that the change doesn't have are left out.
-    files (change_id, side, path, text) bring path aliases.
+    files (change_id, side, path, text) bring path aliases; paths (change_id, path) stand for the head's files.
     """
     head = index.where("side = 'head'")
     imports = part(head, "imports").select("change_id", "path", "line", "module", "imported_name", "local_name", "kind", "level")
@@ -100,7 +100,7 @@ def resolved_imports(index: DataFrame, files: DataFrame | None = None) -> DataFr
     tried = bases.where(~F.col("base").startswith("..")).withColumn("option", F.explode(each)).select(*kept, "option.*")
     row = F.struct(F.col("rank").alias("f"), F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(0).alias("tail"))
     every = asked.select(*kept, "option.*").withColumn("rank", row).unionByName(tried)
-    hit = every.join(names(head.select("change_id", "path").distinct()), ["change_id", "key"])
+    hit = every.join(names(head.select("change_id", "path").distinct() if paths is None else paths), ["change_id", "key"])
     best = hit.groupBy(*kept).agg(F.min(F.struct("rank", "ord", "target", "refers")).alias("b"))
     return best.select(*kept, "b.target", "b.refers")
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import finding_id
 from ..operators.relational import keep_best
-from .api_contract import references, symbol_changes
+from ..sources.tables import kept
+from .api_contract import symbol_changes
+from .references import references, resolved_imports
 from .line_rules import TEST_PATH
 
 #: Findings of a change (fixed value).
@@ -15,9 +17,9 @@ MOST = 12
 
 
 def links_to_tests(index: DataFrame) -> DataFrame:
-    """change_id, path, qualname, test_path, test, strength (import, indirect): which tests call which symbols."""
-    refs = references(index)
-    direct = refs.where(F.col("path").rlike(TEST_PATH) & (F.col("path") != F.col("target"))).select("change_id", F.col("target").alias("path"), F.col("symbol").alias("qualname"), F.col("path").alias("test_path"), F.col("enclosing").alias("test"), F.lit("import").alias("strength")).distinct()
+    """change_id, path, qualname, test_path, test, strength (import, name, indirect): which tests call which symbols."""
+    refs = kept(references(index, kept(resolved_imports(index), "imports")).where("kind = 'call'"), "references")
+    direct = refs.where(F.col("path").rlike(TEST_PATH) & (F.col("path") != F.col("target"))).select("change_id", F.col("target").alias("path"), F.col("symbol").alias("qualname"), F.col("path").alias("test_path"), F.col("enclosing").alias("test"), F.when(F.col("resolution") == "resolved", "import").otherwise("name").alias("strength")).distinct()
     callers = refs.where("path = target and enclosing is not null").select("change_id", "path", F.col("symbol").alias("qualname"), F.col("enclosing").alias("caller")).distinct()
     hop = callers.join(direct.withColumnRenamed("qualname", "caller"), ["change_id", "path", "caller"]).select("change_id", "path", "qualname", "test_path", "test", F.lit("indirect").alias("strength")).distinct()
     return direct.unionByName(hop.join(direct, ["change_id", "path", "qualname"], "left_anti"))
@@ -28,7 +30,7 @@ def untested(index: DataFrame, most: int = MOST) -> DataFrame:
     changed = symbol_changes(index).where(F.col("change").isin("added", "modified") & F.col("new.params").isNotNull() & ~F.col("path").rlike(TEST_PATH) & (F.col("new.kind") != "test"))
     rows = changed.select("change_id", "path", "qualname", F.col("new.start_line").alias("start_line"), F.col("new.exported").alias("exported"))
     links = links_to_tests(index).select("change_id", "path", "qualname", "strength").distinct()
-    reached = rows.join(links, ["change_id", "path", "qualname"]).where("strength = 'import' or not exported")
+    reached = rows.join(links, ["change_id", "path", "qualname"]).where("strength <> 'indirect' or not exported")
     gaps = rows.join(reached.select("change_id", "path", "qualname"), ["change_id", "path", "qualname"], "left_anti")
-    kept = keep_best(gaps, ["change_id"], [F.desc("exported"), F.col("path"), F.col("start_line"), F.col("qualname")], most)
-    return kept.select("change_id", finding_id(F.lit("CG-TST-001"), F.col("path"), F.col("start_line"), F.col("qualname")).alias("id"), F.lit("CG-TST-001").alias("rule_id"), F.when(F.col("exported"), "medium").otherwise("low").alias("severity"), F.col("path").alias("file"), "start_line", F.col("qualname").alias("symbol"))
+    best = keep_best(gaps, ["change_id"], [F.desc("exported"), F.col("path"), F.col("start_line"), F.col("qualname")], most)
+    return best.select("change_id", finding_id(F.lit("CG-TST-001"), F.col("path"), F.col("start_line"), F.col("qualname")).alias("id"), F.lit("CG-TST-001").alias("rule_id"), F.when(F.col("exported"), "medium").otherwise("low").alias("severity"), F.col("path").alias("file"), "start_line", F.col("qualname").alias("symbol"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,3 +25,16 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for x in ("signup", "started", "view", "stage", "click", "stage", "purchase", "completed", "error", "failed")])
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("analysis_id"), seq.alias("seq"), kinds[F.col("event_type")].alias("kind"), "ts", "event_id", "value")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder in spark.checkpoint.dir and read back: plans stay small, and lost executors lose
+    nothing. A folder of this machine's stands in only where that setting is unset, as in tests."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="patchloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root}/patchloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -124,3 +124,74 @@ def test_awkward_scripts():
     for text in ("", "\n\n", "//", "a / b / c; (d) / e; f = /g/.test(h)", "for (const x of xs) {}", "export * from './a'; export {b as c} from './d';", "const {x, ...y} = z;", "@dec() class A { @p() q; constructor(private a: B) {} get [Symbol.iterator]() {} }", "x = {a() {}, b: 1, ...c};", "<T,>(x) => x", "é = `\\``;"):
         assert index(text)["error"] is None, text
     assert index("(" * 20000 + ")" * 20000)["error"] in (None, "nested too deeply")
+
+
+def sides(spark, base, head):
+    return indexed(spark.createDataFrame([("c", side, p, t) for side, fs in (("base", base), ("head", head)) for p, t in fs.items()], FILES))
+
+
+def found(index, *rules):
+    from patchloom.plans.api_contract import contract_findings
+
+    rows = contract_findings(index).collect()
+    return {(r.rule_id, r.symbol): (r.severity, r.confidence, r.detail, r.evidence) for r in rows if r.rule_id in rules}
+
+
+def test_contract_grades_by_resolution(spark):
+    base = {"m.py": "class A:\n    def load_it(self, a, b=1):\n        return a\n    def save_it(self, c):\n        return c\n", "u.py": "from m import A\nA.save_it(x, 1)\nx.load_it(1, b=2)\nx.load_it(*y)\n"}
+    head = base | {"m.py": "class A:\n    def load_it(self, a):\n        return a\n    def save_it(self, c, d):\n        return c\n"}
+    got = found(sides(spark, base, head), "CG-API-001")
+    assert got[("CG-API-001", "A.load_it")] == ("medium", "medium", "unexpected keyword argument b", ["u.py:3"])
+    assert got[("CG-API-001", "A.save_it")] == ("high", "high", "missing argument d", ["u.py:2"])
+
+
+def test_contract_of_scripts(spark):
+    base = {"a.ts": "export function f(a, b) { return a; }\nexport function g(a) { return a; }\nexport function gone(z) { return 5; }\n", "b.ts": 'import {f, g, gone} from "./a";\nf(1, 2);\ng(1);\nf(...xs);\n'}
+    head = base | {"a.ts": "export function f(a) { return a; }\nexport function g(a, b) { return a; }\n"}
+    got = found(sides(spark, base, head), "CG-API-001", "CG-API-002")
+    assert got == {
+        ("CG-API-001", "f"): ("high", "high", "takes 1 positional arguments but 2 are given", ["b.ts:2"]), ("CG-API-001", "g"): ("high", "high", "needs 2 arguments but 1 are given", ["b.ts:3"]),
+        ("CG-API-002", "gone"): ("critical", "high", "removed but still used", ["b.ts:1"]),
+    }
+
+
+def test_renamed_symbols_and_lost_modules(spark):
+    body = "(a):\n    total = 0\n    for x in a:\n        total += x * 3\n    return total\n"
+    base = {"m.py": f"def one{body}def two(q):\n    return q\n", "old.py": "y = 1\n", "u.py": "from m import one\nimport old\none(1)\n"}
+    head = {"m.py": f"def other{body}def three(q, r, s):\n    raise ValueError(r)\n", "u.py": base["u.py"]}
+    got = found(sides(spark, base, head), "CG-API-002", "CG-API-007")
+    assert got[("CG-API-002", "one")] == ("critical", "high", "renamed to other but still used", ["u.py:1", "u.py:3"])
+    assert got[("CG-API-002", None)] == ("critical", "high", "the file is gone but still imported", ["u.py:2"])
+    assert ("CG-API-007", "two") in got and ("CG-API-007", "one") not in got
+
+
+def test_renames_like_brute_force(spark):
+    import random
+
+    from patchloom.plans.api_contract import symbol_changes
+    from patchloom.plans.renames import renames, similarity
+
+    rng = random.Random(4)
+    word = lambda: rng.choice("alpha beta gamma delta rho tau".split())
+
+    def function(name, words):
+        return f"def {name}(x):\n" + "".join(f"    {w} = {w}_of(x)\n" for w in words) + "    return x\n"
+
+    bodies = [[word() for _ in range(rng.randint(3, 9))] for _ in range(12)]
+    base = {"m.py": "".join(function(f"a{i}", b) for i, b in enumerate(bodies)) + "x = 1\n"}
+    changed = [b[:-1] + [word()] if i % 2 else list(b) for i, b in enumerate(bodies)]
+    rng.shuffle(changed)
+    head = {"m.py": "".join(function(f"b{i}", b) for i, b in enumerate(changed))}
+    changes = symbol_changes(sides(spark, base, head)).cache()
+    rows = changes.collect()
+    removed = sorted((r.old for r in rows if r.change == "removed"), key=lambda s: s.ord)
+    added = sorted((r.new for r in rows if r.change == "added"), key=lambda s: s.ord)
+    taken, want = set(), set()
+    for r in removed:
+        options = [(similarity(r.body, a.body), -a.ord, a.qualname) for a in added if a.kind == r.kind and a.parent == r.parent and a.qualname not in taken]
+        best = max((o for o in options if o[0] >= 0.78), default=None)
+        if best:
+            taken.add(best[2])
+            want.add((r.qualname, best[2]))
+    assert len(want) > 6 and {(r.old_name, r.new_name) for r in renames(changes).collect()} == want
+    assert renames(changes.where("false")).count() == 0
