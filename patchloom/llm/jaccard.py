@@ -390,7 +390,8 @@ def classes(docs: DataFrame, least: float = LEAST, small: int = SMALL, target: f
     comps = stored(components(edges.where("not late").select("u", "v"), "sketch-graph"), "comps")
     comps, missed = grown(comps, edges.where("late"))
     apart, runs = missed * missed, 2 * RUNS
-    while apart > 1 - target and missed < 1:
+    # a group that finds nothing but new edges says that the runs so far missed all: they go on, as each merges components
+    while apart > 1 - target:
         again = rows.join(reps.select("rep", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["rep"])
         more = stored(sets(again.select(F.col("rep").alias("doc_id"), "k1", "k2", "text"), runs, RUNS).select(F.col("doc_id").alias("rep"), "n", "sketch", "tree"), "chosen")
         comps, missed = grown(comps, edges_of(more, small))

@@ -241,3 +241,23 @@ def test_wand_skips_blocks(monkeypatch):
     assert read < blocks / 2
     # a threshold from elsewhere leaves nothing to open
     assert lexical.wand(lists, ids, m, 10, int(scores[0]) + 10**9)[2] == 0
+
+
+def test_jaccard_runs_go_on_when_every_late_edge_is_new(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from patchloom.llm import jaccard
+
+    calls, real = [], jaccard.edges_of
+
+    def edges(body, small):
+        calls.append(1)
+        found = real(body, small)
+        # as if the first group of runs had found nothing
+        return found.withColumn("late", F.lit(True)) if len(calls) == 1 else found
+
+    monkeypatch.setattr(jaccard, "edges_of", edges)
+    words = [f"w{k}" for k in range(80)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "other words altogether in this one")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)} and len(calls) == 2
