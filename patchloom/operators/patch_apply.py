@@ -42,7 +42,7 @@ def head_files(base: DataFrame, diff: DataFrame) -> DataFrame:
 
     def fold(texts: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         if lines.empty:
-            return pd.DataFrame({"change_id": [], "path": [], "text": [], "error": []})
+            return pd.DataFrame(columns=["change_id", "path", "text", "error"], dtype=object)
         first = lines.iloc[0]
         head = [first.change_id, first.path]
         if first.status == "deleted":

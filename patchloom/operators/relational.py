@@ -13,11 +13,20 @@ def new_in_head(base: DataFrame, head: DataFrame, keys: list[str], order: list[s
     return head.withColumn("_nth", nth).join(known, keys, "left").where(F.col("_nth") > F.coalesce("_known", F.lit(0))).drop("_nth", "_known")
 
 
-def islands(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Runs of consecutive integers: keys, lo, hi, n."""
-    distinct = rows.select(*keys, number).distinct()
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(number)) if keys else F.row_number().over(Window.orderBy(number))
-    return distinct.withColumn("_g", F.col(number) - at).groupBy(*keys, "_g").agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count("*").alias("n")).drop("_g")
+def islands(rows: DataFrame, keys: list[str], number: str, bucket: int = 1 << 16) -> DataFrame:
+    """Runs of consecutive integers: keys, lo, hi, n.
+
+    Numbers are ordered within buckets of ``bucket`` neighbouring ones, so that a key of many isn't one task; only runs
+    that touch a bucket's ends, two a bucket at most, are put together over the whole key.
+    """
+    distinct = rows.select(*keys, number).distinct().withColumn("_b", F.floor(F.col(number) / bucket))
+    at = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(number))
+    runs = distinct.withColumn("_g", F.col(number) - at).groupBy(*keys, "_b", "_g").agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count("*").alias("n"))
+    open_ends = F.col("lo").isNull() | (F.pmod("lo", F.lit(bucket)) == 0) | (F.pmod("hi", F.lit(bucket)) == bucket - 1)
+    inner = runs.where(~open_ends).select(*keys, "lo", "hi", "n")
+    order = Window.partitionBy(*keys).orderBy("lo")
+    edge = runs.where(open_ends).withColumn("_new", F.coalesce((F.lag("hi").over(order) + 1 != F.col("lo")).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
+    return inner.unionByName(edge.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).select(*keys, "lo", "hi", "n"))
 
 
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str, lo: str, hi: str, point_id: list[str], tie: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
@@ -55,3 +57,63 @@ def regressions(now: DataFrame, before: DataFrame, cases: DataFrame) -> DataFram
     rate = both.agg(F.max(F.when(F.col("run") == 1, F.col("rate"))).alias("rate"), F.max(F.when(F.col("run") == 0, F.col("rate"))).alias("was"))
     rise = rate.where(F.col("rate") - F.col("was") > NEGATIVE_RISE).select(F.lit("negative_rise").alias("check"), F.format_string("%.4f to %.4f", "was", "rate").alias("detail"), F.lit(True).alias("fails"))
     return lost.unionByName(new).unionByName(drop).unionByName(rise)
+
+
+#: Resamples of a bootstrap, and the modulus of its draws: a prime below 2^31, so that squares fit 63 bits (fixed values).
+RESAMPLES, PRIME = 2000, 2147483647
+#: Chances of at most 0, 1, … draws of a case in a resample, by Poisson's law of mean 1, as shares of the modulus.
+POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
+
+
+def draws(case: Column, resample: Column) -> Column:
+    """How often a resample draws a case: a keyed hash, mixed by squares modulo a prime, read as a Poisson number."""
+    x = (F.pmod(case, F.lit(PRIME)) * 48271 + resample * 69621 + 1) % PRIME
+    for turn in (16807, 39373, 69069):
+        x = (x * x + (case % 65536 + 1) * turn + resample * (turn + 2)) % PRIME
+    return F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, limit: n + (x > limit).cast("int"))
+
+
+def bootstrap(counts: DataFrame, case: str, resamples: int = RESAMPLES) -> DataFrame:
+    """metric, lo, hi of precision, recall and f1: the 2.5 and 97.5 % ranks over resamples of cases with replacement.
+
+    counts: a case's integer key, tp, fp, fn. Each resample draws every case a Poisson number of times, so rows need no
+    numbers and meet only in sums, combined before the shuffle: one row a resample and task. Resamples in which a metric
+    isn't defined don't count for it.
+    """
+    each = counts.select(F.col(case).cast("long").alias("c"), "tp", "fp", "fn", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("k", draws(F.col("c"), F.col("b").cast("long"))).where("k > 0")
+    total = each.groupBy("b").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
+    metrics = {"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)}
+    rows = total.select("b", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in metrics.items()])).alias("m")).select("b", "m.*").where("v is not null")
+    # one row a resample: a bounded window
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy("v", "b")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("metric")))
+    at = lambda q: F.round(F.min(F.when(F.col("r") == F.rint(F.lit(q) * (F.col("n") - 1)).cast("long"), F.col("v"))), 4)
+    return ranked.groupBy("metric").agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
+
+
+#: Severities from the gravest (fixed order).
+GRADES = ("critical", "high", "medium", "low", "info")
+
+
+def severity_agreement(results: DataFrame, predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """n, exact, within_one of matched findings whose label has a severity: shares of equal grades, and of grades one apart at most."""
+    grade = lambda c: F.array_position(F.array(*map(F.lit, GRADES)), c)
+    both = results.where("outcome = 'tp'").join(predictions.select("case_id", "pred_id", F.col("severity").alias("p")), ["case_id", "pred_id"]).join(labels.select("case_id", "label_id", F.col("severity").alias("l")), ["case_id", "label_id"]).where("l is not null")
+    gap = F.abs(grade(F.col("p")) - grade(F.col("l")))
+    return both.agg(F.count("*").alias("n"), F.round(F.avg((gap == 0).cast("double")), 4).alias("exact"), F.round(F.avg((gap <= 1).cast("double")), 4).alias("within_one"))
+
+
+def rejections(claims: DataFrame) -> DataFrame:
+    """reason, n of rejected claims."""
+    return claims.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def missed_by(results: DataFrame, primary: str) -> DataFrame:
+    """case_id, label_id, found_by of labels that the primary system misses: the other systems that find them, in order.
+
+    results has system besides the columns of ``outcomes``.
+    """
+    missed = results.where((F.col("system") == primary) & (F.col("outcome") == "fn")).select("case_id", "label_id").distinct()
+    others = results.where((F.col("system") != primary) & (F.col("outcome") == "tp")).groupBy("case_id", "label_id").agg(F.array_sort(F.collect_set("system")).alias("found_by"))
+    return missed.join(others, ["case_id", "label_id"], "left").withColumn("found_by", F.coalesce("found_by", F.array().cast("array<string>")))

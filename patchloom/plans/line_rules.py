@@ -1,4 +1,7 @@
-"""Rules on added lines: every rule is a condition of Catalyst's, all of them in one pass over the diff lines."""
+"""Rules on added lines: every rule is a condition of Catalyst's, all of them in one pass over the diff lines.
+
+Graded rules have modules of their own: ``migrations`` for CG-MIG, ``secrets`` for random values.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import finding_id
 from ..operators.relational import keep_best
+from ..sources.manifests import dependencies, kind
 
 PY, JS, ANY = r"(?i)\.pyi?$", r"(?i)\.[cm]?[jt]sx?$", r"."
 TEST_PATH = r"(?i)(^|/)(test_[^/]*\.py|[^/]*_test\.py|conftest\.py|[^/]*\.(test|spec)\.[^/]*)$|(^|/)(tests?|__tests__|spec)/"
-MIGRATION_PATH = r"(?i)(^|/)(migrations?|alembic|db/migrate)(/|$)|\.sql$"
 
 
 @dataclass(frozen=True)
@@ -54,7 +57,6 @@ RULES = (
     LineRule("CG-CFG-001", "A risky setting", "configuration", "heuristic", "medium", "medium", f"{PY}|{JS}", r"^\s*DEBUG\s*=\s*True\b|\bALLOWED_HOSTS\b.*['\"]\*['\"]|\b(allow_)?origins?\s*[=:]\s*\[?\s*['\"]\*['\"]|Access-Control-Allow-Origin['\"]\s*[,:]\s*['\"]\*"),
     LineRule("CG-TST-002", "A test is skipped", "test_integrity", "deterministic", "medium", "high", f"{PY}|{JS}", r"\b(it|test|describe)\.skip\s*\(|\bx(it|describe|test)\s*\(|@(pytest\.mark|unittest)\.(skip|skipif|xfail)|\bpytest\.skip\s*\(", tests=True),
     LineRule("CG-TST-003", "Only one test runs", "test_integrity", "deterministic", "high", "high", JS, r"\b(it|test|describe)\.only\s*\(|\bf(it|describe)\s*\(", tests=True),
-    LineRule("CG-MIG-001", "Data is dropped or rewritten", "data_migration", "deterministic", "high", "high", MIGRATION_PATH, r"(?i)^(?!\s*(--|#)).*\b(drop\s+(table|column|database|schema)|truncate\s+table|rename\s+(column|to)|op\.drop_(column|table)|removefield|deletemodel|renamefield|delete\s+from\s+\w+\s*;)"),
     LineRule("CG-AIS-001", "Text addressed to a model", "prompt_injection", "deterministic", "medium", "high", ANY, OVERRIDE, once=True),
 )
 SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -96,21 +98,14 @@ def line_findings(lines: DataFrame, rules: tuple[LineRule, ...] = RULES) -> Data
     )
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """Requirements files to change_id, side, path, name, spec; comments and options aren't dependencies; the last line of a name counts."""
-    cut = files.where(F.col("path").rlike(r"(?i)(^|/)requirements[^/]*\.txt$")).select("change_id", "side", "path", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    line = F.trim(F.regexp_replace("line", r"(^|\s)#.*$", ""))
-    named = cut.select("change_id", "side", "path", "n", F.regexp_replace(F.lower(F.regexp_extract(line, r"^([A-Za-z0-9][\w.-]*)", 1)), "[-_.]+", "-").alias("name"), F.trim(F.regexp_extract(line, r"^[A-Za-z0-9][\w.-]*(?:\[[^\]]*\])?\s*([^;]*)", 1)).alias("spec"))
-    return named.where("name <> ''").groupBy("change_id", "side", "path", "name").agg(F.max_by("spec", "n").alias("spec"))
-
-
 def dependency_changes(files: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """CG-DEP-001 to 004: change_id, rule_id, file, name, before, after, severity. Removed ones still imported are high."""
     deps = dependencies(files)
     side = lambda s, c: deps.where(F.col("side") == s).select("change_id", F.col("path").alias("file"), "name", F.col("spec").alias(c))
     both = side("base", "before").join(side("head", "after"), ["change_id", "file", "name"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
     major = lambda c: F.regexp_extract(c, r"(\d+)", 1).try_cast("int")
-    pinned = lambda c: F.col(c).rlike(r"^={2,3}\s*\d")
+    # a bare version pins a package of package.json
+    pinned = lambda c: F.col(c).rlike(r"^={2,3}\s*\d|^\d+(\.\d+){1,3}$")
     rule = (
         F.when(F.col("before").isNull(), "CG-DEP-002").when(F.col("after").isNull(), "CG-DEP-003")
         .when(major("before") != major("after"), "CG-DEP-001").when(pinned("before") & ~pinned("after"), "CG-DEP-004")
@@ -119,7 +114,11 @@ def dependency_changes(files: DataFrame, imports: DataFrame | None = None) -> Da
     if imports is None:
         used = F.lit(False)
     else:
-        known = imports.where("side = 'head' and level = 0").select("change_id", F.lower(F.regexp_replace(F.split("module", r"\.")[0], "_", "-")).alias("name")).distinct().withColumn("used", F.lit(True))
-        out, used = out.join(known, ["change_id", "name"], "left"), F.coalesce("used", F.lit(False))
+        # a module's first part is a Python package; a script's package is its first part, or two under a scope
+        script = F.col("path").rlike(JS)
+        package = F.when(script, F.regexp_extract("module", r"^((?:@[^/]+/)?[^/]+)", 1)).otherwise(F.lower(F.regexp_replace(F.split("module", r"\.")[0], "_", "-")))
+        known = imports.where("side = 'head' and level = 0").select("change_id", package.alias("name"), script.alias("script")).distinct().withColumn("used", F.lit(True))
+        out = out.withColumn("script", kind(F.col("file")) == "npm").join(known, ["change_id", "name", "script"], "left").drop("script")
+        used = F.coalesce("used", F.lit(False))
     severity = F.when(F.col("rule_id") == "CG-DEP-003", F.when(used, "high").otherwise("low")).when(F.col("rule_id") == "CG-DEP-001", "medium").otherwise("low")
     return out.select("change_id", "rule_id", "file", "name", "before", "after", severity.alias("severity"))

@@ -234,10 +234,12 @@ def confusion_prf(spark, sf_dir):
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value AS p95 FROM r WHERE r = least(n, CAST(floor(0.95 * n) AS BIGINT) + 1)")
 def nearest_rank_p95(spark, sf_dir):
-    """The value at the nearest rank."""
+    """The value at the nearest rank; equal values are counted before the shuffle, and only counts are ordered."""
     by = Window.partitionBy("event_type")
-    ranked = table(spark, sf_dir, "events").where("value is not null").withColumns({"r": F.row_number().over(by.orderBy("value")), "n": F.count("*").over(by)})
-    return ranked.where(F.col("r") == F.least("n", F.floor(0.95 * F.col("n")) + 1)).select("event_type", F.col("value").alias("p95"))
+    counts = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("k"))
+    ranked = counts.withColumns({"upto": F.sum("k").over(by.orderBy("value")), "n": F.sum("k").over(by)})
+    rank = F.least("n", F.floor(0.95 * F.col("n")) + 1)
+    return ranked.where((F.col("upto") >= rank) & (F.col("upto") - F.col("k") < rank)).select("event_type", F.col("value").alias("p95"))
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels), d AS (SELECT b, k, ((b * 1103515245 + k * 12345 + b * k * 7919) % 2147483648) % (SELECT count(*) FROM labels) AS i FROM range(200) t(b), range(100) u(k)),
