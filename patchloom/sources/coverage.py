@@ -10,20 +10,22 @@ MOST = 5_000_000
 
 
 def lcov(reports: DataFrame) -> DataFrame:
-    """The SF record last seen names the file of each DA record."""
-    cut = reports.select("change_id", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    order = Window.partitionBy("change_id").orderBy("n")
-    path = F.last(F.when(F.col("line").startswith("SF:"), F.substring("line", 4, 4096)).when(F.col("line") == "end_of_record", F.lit("")), ignorenulls=True).over(order)
+    """The SF record last seen names the file of each DA record. Reports of one change are read each for itself."""
+    cut = reports.select("change_id", F.xxhash64("text").alias("report"), F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
+    order = Window.partitionBy("change_id", "report").orderBy("n")
+    path = F.last(F.when(F.col("line").startswith("SF:"), F.expr("substring(line, 4)")).when(F.col("line") == "end_of_record", F.lit("")), ignorenulls=True).over(order)
     hit = F.regexp_extract("line", r"^DA:(\d+),(\d+)", 1), F.regexp_extract("line", r"^DA:(\d+),(\d+)", 2)
     return cut.withColumn("path", path).where("line like 'DA:%' and path <> ''").select("change_id", "path", hit[0].try_cast("int").alias("line"), hit[1].try_cast("long").alias("hits"))
 
 
 def cobertura(reports: DataFrame) -> DataFrame:
-    """Class elements by regular expression; a document type or entity is refused."""
+    """The lines of every class, read as XML; a document type or entity of its own is refused."""
     safe = reports.where(~F.col("text").rlike("<!(DOCTYPE|ENTITY)"))
-    classes = safe.select("change_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(<class\b.*?</class>)"), 1)).alias("c"))
-    found = classes.select("change_id", F.regexp_extract("c", r'filename="([^"]*)"', 1).alias("path"), F.explode(F.regexp_extract_all("c", F.lit(r"(<line\b[^>]*>)"), 1)).alias("l"))
-    return found.select("change_id", "path", F.regexp_extract("l", r'number="(\d+)"', 1).try_cast("int").alias("line"), F.regexp_extract("l", r'hits="(\d+)"', 1).try_cast("long").alias("hits"))
+    cls = "struct<_filename: string, lines: struct<line: array<struct<_number: string, _hits: string>>>>"
+    tree = F.from_xml("text", f"packages struct<package: array<struct<classes: struct<class: array<{cls}>>>>>", {"mode": "PERMISSIVE"})
+    classes = safe.select("change_id", F.explode(tree["packages"]["package"]).alias("p")).select("change_id", F.explode("p.classes.class").alias("c"))
+    found = classes.select("change_id", F.col("c._filename").alias("path"), F.explode("c.lines.line").alias("l"))
+    return found.select("change_id", "path", F.col("l._number").try_cast("int").alias("line"), F.col("l._hits").try_cast("long").alias("hits"))
 
 
 def json_report(reports: DataFrame) -> DataFrame:
