@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: How far from its stated place a hunk is looked for, in lines (fixed value).
 REACH = 300
@@ -36,29 +40,39 @@ def applied(text: str, hunks: list[tuple[int, list[tuple[str, str]]]]) -> tuple[
 def head_files(base: DataFrame, diff: DataFrame) -> DataFrame:
     """base (change_id, path, text) and diff lines to change_id, path, text, error of the files that the patch touches.
 
-    Added texts end with a line end. Deleted files have neither text nor error; a modified file that base lacks has an error. Files with hunks that don't
-    fit have an error and no text. A file and its diff meet in one task, so its size bounds the memory.
+    Added texts end with a line end. Deleted files have neither text nor error; a modified file that base lacks has an
+    error. Files with hunks that don't fit have an error and no text. A file's hunks are gathered into one row and joined
+    to its text, so its size bounds the memory, and files that the patch leaves alone don't go to Python.
     """
+    good = diff.where("error is null and path is not null")
+    lines = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("hunk", "i", "kind", "content", "old_line", "new_line"))))
+    touched = good.groupBy("change_id", "path", F.coalesce("old_path", "path").alias("old_path")).agg(F.max("status").alias("status"), lines.alias("lines"))
+    both = touched.join(base.select("change_id", F.col("path").alias("old_path"), "text", F.lit(True).alias("there")), ["change_id", "old_path"], "left")
 
-    def fold(texts: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        if lines.empty:
-            return pd.DataFrame(columns=["change_id", "path", "text", "error"], dtype=object)
-        first = lines.iloc[0]
-        head = [first.change_id, first.path]
-        if first.status == "deleted":
-            return pd.DataFrame([[*head, None, None]], columns=["change_id", "path", "text", "error"])
-        if texts.empty and first.status != "added":
-            return pd.DataFrame([[*head, None, "no base text"]], columns=["change_id", "path", "text", "error"])
-        text = "" if texts.empty or first.status == "added" else texts.text.iloc[0] or ""
-        hunks, net = [], 0
-        for _, h in lines[lines.kind.notna()].sort_values(["hunk", "i"]).groupby("hunk"):
-            old = h.old_line.dropna()
-            # without old lines, the place follows from the new one and what the hunks before have added
-            hunks.append((int(old.min()) if len(old) else int(h.new_line.min()) - 1 - net, list(zip(h.kind, h.content, strict=True))))
-            net += int((h.kind == "add").sum()) - int((h.kind == "del").sum())
-        result, error = applied(text, hunks)
-        return pd.DataFrame([[*head, result, error]], columns=["change_id", "path", "text", "error"])
+    schema = pa.schema([(c, pa.string()) for c in ("change_id", "path", "text", "error")])
 
-    good = diff.where("error is null and path is not null")
-    keyed = base.selectExpr("change_id", "path as old_path", "text")
-    return keyed.groupBy("change_id", "old_path").cogroup(good.selectExpr("change_id", "coalesce(old_path, path) old_path", "path", "status", "hunk", "i", "kind", "content", "old_line", "new_line").groupBy("change_id", "old_path")).applyInPandas(fold, "change_id string, path string, text string, error string")
+    def head(r: dict) -> tuple[str | None, str | None]:
+        if r["status"] == "deleted":
+            return None, None
+        if r["status"] != "added" and not r["there"]:
+            return None, "no base text"
+        return applied("" if r["status"] == "added" else r["text"] or "", gathered(r["lines"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r["change_id"], r["path"], *head(r)) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], schema=schema)
+
+    return both.select("change_id", "path", "status", "lines", "text", "there").mapInArrow(run, "change_id string, path string, text string, error string")
+
+
+def gathered(lines: list) -> list[tuple[int, list[tuple[str, str]]]]:
+    """A file's hunks as (old start, [(kind, content)]), from its lines in order."""
+    hunks, net = [], 0
+    for _, part in groupby(lines, key=lambda x: x["hunk"]):
+        h = list(part)
+        old = [x["old_line"] for x in h if x["old_line"] is not None]
+        # without old lines, the place follows from the new one and what the hunks before have added
+        hunks.append((min(old) if old else min(x["new_line"] for x in h) - 1 - net, [(x["kind"], x["content"]) for x in h]))
+        net += sum((x["kind"] == "add") - (x["kind"] == "del") for x in h)
+    return hunks

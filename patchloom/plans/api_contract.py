@@ -106,8 +106,8 @@ def contract_findings(index: DataFrame, files: DataFrame | None = None) -> DataF
     api4 = grouped(used.where("new.is_async and not old.is_async and not awaited and resolution = 'resolved'"), "CG-API-004", F.lit("high"), F.lit("the caller doesn't await"), new["start_line"])
     defaults = F.filter(F.arrays_zip(names(new), F.transform(new["params"], lambda p: p["default"])), lambda x: F.exists(old["params"], lambda o: (o["name"] == x["0"]) & o["has_default"] & (o["default"] != x["1"])))
     api5 = single(functions.withColumn("d", defaults).where(F.size("d") > 0), "CG-API-005", "medium", F.concat(F.lit("default of "), F.col("d")[0]["0"], F.lit(" changed")), new["start_line"])
-    retyped = F.exists(new["params"], lambda p: F.exists(old["params"], lambda o: (o["name"] == p["name"]) & (o["annotation"] != p["annotation"]))) | (old["returns"] != new["returns"])
-    api6 = single(functions.where(retyped), "CG-API-006", "low", F.lit("annotations changed"), new["start_line"])
+    retyped = (old["returns"] != new["returns"]) & (language(F.col("path")) != "javascript")
+    api6 = single(functions.where(retyped), "CG-API-006", "low", F.concat(F.lit("returns "), new["returns"], F.lit(", not "), old["returns"]), new["start_line"])
     # a renamed symbol is gone under its old name
     was = changes.where("change in ('removed', 'renamed')").withColumn("qualname", F.col("old.qualname"))
     gone = changes.where("change = 'removed' and old.parent is null")

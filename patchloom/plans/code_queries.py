@@ -132,7 +132,7 @@ def contract_rules(spark, sf_dir):
     branch = "".join(f"    if a > {i}:\n        a += {i}\n" for i in range(10))
     cases = [
         (f, "def f(a):\n    return a\n", same), (method, "class A:\n    def work_with(self, a):\n        return a\n", "x.work_with(1, b=2)\n"), (f, "q = 1\n", same), (f, "def g(a, b=1):\n    return a\n", same), (lone, "def lone(a, b=1, *, c):\n    return a\n", ""), ("def f(a):\n    return a\n", "async def f(a):\n    return a\n", "from m import f\nf(1)\n"),
-        (lone, "def lone(a, b=2):\n    return a\n", ""), (lone, "def lone(a: int, b=1):\n    return a\n", ""), (lone, "q = 1\n", ""), ("def lone(a):\n    try:\n        return a\n    finally:\n        a = 1\n", "def lone(a):\n    return a\n", ""), ("q = 1\n", "q = (\n", ""), ("def lone(a):\n    return a\n", "def lone(a):\n" + branch + "    return a\n", ""),
+        (lone, "def lone(a, b=2):\n    return a\n", ""), ("def lone(a) -> int:\n    return a\n", "def lone(a) -> str:\n    return a\n", ""), (lone, "q = 1\n", ""), ("def lone(a):\n    try:\n        return a\n    finally:\n        a = 1\n", "def lone(a):\n    return a\n", ""), ("q = 1\n", "q = (\n", ""), ("def lone(a):\n    return a\n", "def lone(a):\n" + branch + "    return a\n", ""),
     ]
     pick = lambda j: F.coalesce(*[when(f"p_partkey % 12 = {i}", c[j]) for i, c in enumerate(cases)])
     files = of_parts(spark, sf_dir, ("base", "m.py", pick(0)), ("head", "m.py", pick(1)), ("base", "u.py", pick(2)), ("head", "u.py", pick(2)))

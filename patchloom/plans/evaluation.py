@@ -65,12 +65,17 @@ RESAMPLES, PRIME = 2000, 2147483647
 POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
 
 
-def draws(case: Column, resample: Column) -> Column:
-    """How often a resample draws a case: a keyed hash, mixed by squares modulo a prime, read as a Poisson number."""
-    x = (F.pmod(case, F.lit(PRIME)) * 48271 + resample * 69621 + 1) % PRIME
+def with_draws(rows: DataFrame, case: str, resample: str, name: str) -> DataFrame:
+    """rows with how often a resample draws a case: a keyed hash, mixed by squares modulo a prime, read as a Poisson number.
+
+    Every step is a column of its own, as one expression would compute each square's inside twice.
+    """
+    c, b = F.pmod(F.col(case), F.lit(PRIME)), F.col(resample)
+    out = rows.withColumn(name, (c * 48271 + b * 69621 + 1) % PRIME)
     for turn in (16807, 39373, 69069):
-        x = (x * x + (case % 65536 + 1) * turn + resample * (turn + 2)) % PRIME
-    return F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, limit: n + (x > limit).cast("int"))
+        x = F.col(name)
+        out = out.withColumn(name, (x * x + (F.pmod(F.col(case), F.lit(65536)) + 1) * turn + b * (turn + 2)) % PRIME)
+    return out.withColumn(name, sum(((F.col(name) > limit).cast("int") for limit in POISSON), F.lit(0)))
 
 
 def bootstrap(counts: DataFrame, case: str, resamples: int = RESAMPLES) -> DataFrame:
@@ -80,7 +85,8 @@ def bootstrap(counts: DataFrame, case: str, resamples: int = RESAMPLES) -> DataF
     numbers and meet only in sums, combined before the shuffle: one row a resample and task. Resamples in which a metric
     isn't defined don't count for it.
     """
-    each = counts.select(F.col(case).cast("long").alias("c"), "tp", "fp", "fn", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("k", draws(F.col("c"), F.col("b").cast("long"))).where("k > 0")
+    each = counts.select(F.col(case).cast("long").alias("c"), "tp", "fp", "fn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
+    each = with_draws(each, "c", "b", "k").where("k > 0")
     total = each.groupBy("b").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
     share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     tp, fp, fn = map(F.col, ("tp", "fp", "fn"))

@@ -19,12 +19,13 @@ def lcov(reports: DataFrame) -> DataFrame:
 
 
 def cobertura(reports: DataFrame) -> DataFrame:
-    """The lines of every class, read as XML; a document type or entity of its own is refused."""
+    """The lines of every class element, wherever it stands, read as XML; a document type or entity of its own is refused."""
     safe = reports.where(~F.col("text").rlike("<!(DOCTYPE|ENTITY)"))
-    cls = "struct<_filename: string, lines: struct<line: array<struct<_number: string, _hits: string>>>>"
-    tree = F.from_xml("text", f"packages struct<package: array<struct<classes: struct<class: array<{cls}>>>>>", {"mode": "PERMISSIVE"})
-    classes = safe.select("change_id", F.explode(tree["packages"]["package"]).alias("p")).select("change_id", F.explode("p.classes.class").alias("c"))
-    found = classes.select("change_id", F.col("c._filename").alias("path"), F.explode("c.lines.line").alias("l"))
+    classes = safe.select("change_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(<class\b.*?</class>)"), 1)).alias("c"))
+    line = "line array<struct<_number: string, _hits: string>>"
+    tree = F.from_xml("c", f"_filename string, lines struct<{line}>, {line}")
+    none = F.array().cast("array<struct<_number: string, _hits: string>>")
+    found = classes.select("change_id", tree.alias("c")).select("change_id", F.col("c._filename").alias("path"), F.explode(F.concat(F.coalesce("c.lines.line", none), F.coalesce("c.line", none))).alias("l"))
     return found.select("change_id", "path", F.col("l._number").try_cast("int").alias("line"), F.col("l._hits").try_cast("long").alias("hits"))
 
 

@@ -345,8 +345,8 @@ class File:
             if word == "import" and top and not self.is_(k + 1, "(", "."):
                 k = self.importing(k)
             elif word == "function" and (opening := self.find(k, hi, "(")) is not None:
-                name = self.word(opening - 1) or "default"
-                k = self.function(k, "default" if name == "function" else name, opening, above, "function", exported)
+                named = k + 1 + self.is_(k + 1, "*")
+                k = self.function(k, (self.word(named) if named < opening else None) or "default", opening, above, "function", exported)
             elif word == "class" and self.word(k + 1) and (body := self.find(k, hi, "{")) is not None:
                 name = self.word(k + 1) or ""
                 self.add(name, "class", above, k, self.pair[body] + 1, exported=exported)

@@ -91,3 +91,11 @@ def test_stream_state(spark, tmp_path):
     q = hourly(read(spark, folder)).writeStream.outputMode("append").format("memory").queryName("hours").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.table("hours").collect()) == 2
+
+
+def test_cobertura_is_read_as_xml(spark):
+    body = "<packages><package name='p'><classes><class name=\"c\" filename='a&amp;b.py' line-rate='1'><methods><method name='m'><lines><line number='9' hits='9'/></lines></method></methods><lines><line hits='2' number='1'/><line number=\"3\" branch='true' hits=\"0\"/><line number='x' hits='1'/></lines></class></classes></package></packages>"
+    two = "SF:b.py\nDA:1,0\nend_of_record\n"
+    reports = [("x", f"<?xml version='1.0'?>\n<coverage>{body}</coverage>"), ("l", "SF:a.py\nDA:1,2\nend_of_record\n"), ("l", two), ("b", "<class filename='z'><line number="), ("e", "<coverage/>")]
+    got = {tuple(r) for r in coverage_lines(spark.createDataFrame(reports, "change_id string, text string")).collect()}
+    assert got == {("x", "a&b.py", 1, 2), ("x", "a&b.py", 3, 0), ("l", "a.py", 1, 2), ("l", "b.py", 1, 0)}
