@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,26 +74,40 @@ def greedy_dedup(findings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(fold, f"{schema}, kept_id string")
 
 
+def matched(fits: dict[str, list[str]]) -> dict[str, str]:
+    """label to prediction of a maximum one-to-one assignment; fits has a prediction's labels in order.
+
+    Predictions in order look breadth first for a free label along labels that others hold; the way to it is then turned
+    round. A queue stands for recursion, so that chains may be of any length.
+    """
+    owner: dict[str, str] = {}
+    mine: dict[str, str] = {}
+    for p in sorted(fits):
+        came: dict[str, str] = {}
+        todo, free = deque([p]), None
+        while todo and free is None:
+            q = todo.popleft()
+            for label in fits[q]:
+                if label not in came:
+                    came[label] = q
+                    if label not in owner:
+                        free = label
+                        break
+                    todo.append(owner[label])
+        while free is not None:
+            q = came[free]
+            owner[free], before = q, mine.get(q)
+            mine[q], free = free, before
+    return owner
+
+
 def maximum_matching(candidates: DataFrame) -> DataFrame:
-    """case_id, pred_id, label_id pairs that fit to a maximum one-to-one assignment within each case."""
+    """case_id, pred_id, label_id pairs that fit to a maximum one-to-one assignment within each case; a case is one group."""
 
     def assign(g: pd.DataFrame) -> pd.DataFrame:
         fits: dict[str, list[str]] = {}
-        for p, label in sorted(zip(g.pred_id, g.label_id, strict=True)):
+        for p, label in sorted(set(zip(g.pred_id, g.label_id, strict=True))):
             fits.setdefault(p, []).append(label)
-        owner: dict[str, str] = {}
-
-        def place(p: str, tried: set[str]) -> bool:
-            for label in fits[p]:
-                if label not in tried:
-                    tried.add(label)
-                    if label not in owner or place(owner[label], tried):
-                        owner[label] = p
-                        return True
-            return False
-
-        for p in sorted(fits):
-            place(p, set())
-        return pd.DataFrame([(g.case_id.iloc[0], p, label) for label, p in sorted(owner.items())], columns=["case_id", "pred_id", "label_id"])
+        return pd.DataFrame([(g.case_id.iloc[0], p, label) for label, p in sorted(matched(fits).items())], columns=["case_id", "pred_id", "label_id"])
 
     return candidates.select("case_id", "pred_id", "label_id").groupBy("case_id").applyInPandas(assign, "case_id string, pred_id string, label_id string")

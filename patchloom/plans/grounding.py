@@ -9,10 +9,8 @@ from ..sources.archive import SUFFIXES
 
 LINE = r"(?i)\blines?\s+(\d+)"
 PERCENT = r"(\d+(?:\.\d+)?\s?%)"
-VERB = r"\b(pass(es|ed)?|fail(s|ed)?|succeed(s|ed)?|broke)\b"
-RESULT = r"\b(tests?|ci|suite)\b[^.]{0,40}" + VERB
-#: A word of doubt up to 25 characters before the result, within it, or a condition after it.
-HEDGED = rf"(?i)\b(may|might|could|would|should|if|whether|likely)\b[^.]{{0,25}}({RESULT}|{VERB})|{RESULT}[^.]{{0,25}}\b(if|unless|when)\b"
+#: What a claim says of runs that nobody made: their subjects, their outcomes, and words that leave the outcome open.
+RUNS, OUTCOMES, OPEN = "tests?|suites?|ci|builds?", "pass|passes|passed|fail|fails|failed|succeeds?|succeeded|broke|breaks|green|red", "may|might|could|would|should|can|if|whether|unless|when|likely|perhaps"
 #: How far from a cited range a line may be, and what share of samples has to agree (fixed values).
 SLACK, AGREEMENT = 3, 0.5
 #: What ends a word of a claim; a dot at a word's end is the sentence's.
@@ -33,6 +31,12 @@ def named_symbols(text: Column) -> Column:
     return F.transform(F.array_except(names, named_paths(text)), lambda x: F.element_at(F.split(x, r"\."), -1))
 
 
+def states_outcome(text: Column) -> Column:
+    """Some sentence says how a run came out, and nothing in it leaves that open."""
+    has = lambda s, words: s.rlike(rf"(?i)\b({words})\b")
+    return F.exists(F.split(text, r"[.!?;](\s|$)|\n"), lambda s: has(s, RUNS) & has(s, OUTCOMES) & ~has(s, OPEN))
+
+
 def verified(claims: DataFrame, evidence: DataFrame, paths: DataFrame, findings: DataFrame) -> DataFrame:
     """claims with ``reason``: null if the claim stands, else the first check that fails.
 
@@ -66,7 +70,7 @@ def verified(claims: DataFrame, evidence: DataFrame, paths: DataFrame, findings:
     reason = F.coalesce(
         F.when(text == "", "empty_text"), F.when(F.size(ids) == 0, "no_evidence"), F.when(F.col("n_unknown") > 0, "unknown_evidence"), F.when(F.col("orphan"), "unknown_finding"),
         F.when(F.col("target").isNull() & ~F.coalesce("placed", F.lit(False)), "no_location"), F.when(F.col("stray"), "unknown_path"), F.when((F.size("spans") > 0) & off, "line_out_of_range"),
-        F.when(F.size(F.array_except(percents(text), percents(corpus))) > 0, "unsupported_number"), F.when(text.rlike(f"(?i){RESULT}") & ~text.rlike(HEDGED), "claims_test_result"),
+        F.when(F.size(F.array_except(percents(text), percents(corpus))) > 0, "unsupported_number"), F.when(states_outcome(text), "claims_test_result"),
         F.when(F.size(F.array_except(named_symbols(text), words)) > 0, "symbol_not_in_evidence"), F.when(F.col("agree") / F.greatest(F.coalesce("samples", F.lit(1)), F.lit(1)) < AGREEMENT, "low_agreement"), F.when(F.col("nth") > 1, "duplicate"),
     )
     return counted.select(*[F.col(c) for c in claims.columns], reason.alias("reason"))

@@ -32,13 +32,18 @@ class LineRule:
     once: bool = False  #: one finding a file
 
 
-#: A sentence that sets earlier instructions aside, tells a machine reader what to do, or speaks of the system prompt.
-OVERRIDE = "|".join((
-    r"(?i)\b(ignore|skip|drop|forget|override|disregard|don't follow|do not follow)\b[^.\n]{0,24}\b(instruction|prompt|rule|guideline|direction)s?\b[^.\n]{0,24}\b(above|before|so far|earlier|previously)\b",
-    r"\b(ignore|skip|drop|forget|override|disregard)\b[^.\n]{0,24}\b(previous|prior|earlier|above|former|old)\b[^.\n]{0,12}\b(instruction|prompt|rule|guideline|direction)s?\b",
-    r"\b(model|ai|llm|bot)s?\b[^.\n]{0,40}\b(must|should|has to|have to|needs? to)\b[^.\n]{0,24}\b(approve|accept|ignore|skip|pass|merge)\b",
-    r"\bsystem\s+prompt\b",
-))
+
+
+def all_of(*words: str) -> str:
+    """A pattern of lines that hold a word of every list, in any order."""
+    return "^" + "".join(rf"(?=.*\b(?:{w})\b)" for w in words)
+
+
+#: Lines that speak to a machine reader, by the words that come together in them: to set aside what it was told before,
+#: to come to a verdict, or of its own prompt.
+ASIDE, TOLD, BEFORE = "ignore|ignoring|disregard|forget|override|bypass|don't follow|do not follow", r"instructions?|prompts?|rules?|guidelines?|directions?|directives?", "previous|previously|prior|earlier|above|before|preceding|so far"
+READER, DUTY, VERDICT = "ais?|llms?|bots?|models?|assistants?|agents?|chatbots?", "must|should|has to|have to|need to|needs to|are to", "approve|approved|accept|merge|pass|skip|ignore"
+OVERRIDE = "(?i)" + "|".join((all_of(ASIDE, TOLD, BEFORE), all_of(READER, DUTY, VERDICT), all_of("system prompt")))
 
 #: Identifiers, categories and severities. The patterns are this package's own.
 RULES = (

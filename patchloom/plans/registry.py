@@ -310,7 +310,12 @@ def claim_numbers(spark, sf_dir):
     return docs.select("doc_id", F.size(numbers(F.col("text"))).cast("long").alias("numbers"), F.size(F.array_except(numbers(F.col("text")), numbers(F.split("text", "\n")[0]))).cast("long").alias("unproven"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT CAST(l_orderkey AS VARCHAR) AS change_id, l_returnflag AS category, l_linestatus AS file, 'head' AS side, CAST(trunc(-l_extendedprice) AS BIGINT) AS ord, l_orderkey || '-' || l_linenumber AS id, CAST(trunc(l_quantity) AS BIGINT) AS lo, CAST(trunc(l_quantity) AS BIGINT) + 5 AS hi FROM lineitem),
+ n AS (SELECT *, row_number() OVER (PARTITION BY change_id, category, file, side ORDER BY ord, id, lo, hi) AS r FROM f),
+ g AS (SELECT n.*, id AS kept_id, [{'id': id, 'lo': lo, 'hi': hi}] AS kept FROM n WHERE r = 1
+   UNION ALL SELECT n.*, coalesce(list_filter(g.kept, lambda x: x.lo <= n.hi AND n.lo <= x.hi)[1].id, n.id), CASE WHEN len(list_filter(g.kept, lambda x: x.lo <= n.hi AND n.lo <= x.hi)) = 0 THEN list_append(g.kept, {'id': n.id, 'lo': n.lo, 'hi': n.hi}) ELSE g.kept END
+   FROM g JOIN n ON n.change_id = g.change_id AND n.category = g.category AND n.file = g.file AND n.side = g.side AND n.r = g.r + 1)
+ SELECT change_id, category, file, side, ord, id, lo, hi, kept_id FROM g""")
 def greedy_dedup(spark, sf_dir):
     """Findings merged into the first kept one that they overlap."""
     at = F.col("l_quantity").cast("long")

@@ -167,3 +167,23 @@ def test_agreement_and_rejections(spark):
     assert [tuple(r) for r in evaluation.missed_by(runs, "rules").collect()] == [("d", "l4", ["other"])]
     claims = spark.createDataFrame([("a", "no_evidence"), ("b", None), ("c", "no_evidence")], "id string, reason string")
     assert [tuple(r) for r in evaluation.rejections(claims).collect()] == [("no_evidence", 2)]
+
+
+def test_matching_of_long_chains_and_all_small_graphs():
+    from itertools import permutations
+
+    from patchloom.operators.matching import matched
+
+    # p0 must give way along all of them
+    chain = {f"p{k:05}": [f"l{k:05}", f"l{k + 1:05}"] for k in range(3000)} | {"q": ["l00000"]}
+    assert len(matched(chain)) == 3001
+    rng = random.Random(2)
+    for _ in range(200):
+        edges = [(p, x) for p in "abcd" for x in "wxyz" if rng.random() < 0.4]
+        fits = {}
+        for p, x in edges:
+            fits.setdefault(p, []).append(x)
+        got = matched(fits)
+        assert len(set(got.values())) == len(got) and all(x in fits[p] for x, p in got.items())
+        best = max(sum((p, x) in edges for p, x in zip("abcd", w, strict=True)) for w in permutations("wxyz"))
+        assert len(got) == best
