@@ -12,7 +12,7 @@ from ..sources.diff import diff_lines
 from ..sources.lint import new_diagnostics
 from ..sources.python_code import part
 from ..sources.tables import kept, table
-from . import coverage_gaps, evaluation, evidence, logic, migrations, references, renames, report, scope_rules, secrets, tests_mapping, workspace
+from . import call_rules as calls_of, coverage_gaps, evaluation, evidence, logic, migrations, references, renames, report, scope_rules, secrets, tests_mapping, workspace
 from .api_contract import contract_findings, symbol_changes
 from .line_rules import dependency_changes
 from .registry import query
@@ -303,3 +303,17 @@ def whole_heads(spark, sf_dir):
     patch = text("--- a/m.py\n+++ b/m.py\n@@ -1,2 +1,2 @@\n a\n-b{s}\n+", when("p_partkey % 2 = 0", "B", "C"), "{s}\n--- a/gone.py\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-q\n", when("p_partkey % 3 = 0", "--- /dev/null\n+++ b/new.py\n@@ -0,0 +1,1 @@\n+n\n", ""))
     diff = kept(diff_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("change_id"), patch.alias("patch_text"))), "head-diff")
     return workspace.whole_head(workspace.aligned(base, diff).drop("side"), diff)
+
+
+CALLED = ("# eval({s})\ny = 'eval(x)'\n", "z = eval(\n    x{k}\n)\n", "from os import system as run\nrun(c{k})\n", "import yaml as y\ny.load(f{k})\ny.load(f, Loader=y.SafeLoader)\n", "import time\nasync def f{k}():\n    time.sleep({s})\n", "def (\neval(x)\n")
+
+
+@query(f"WITH r(m, rule_id, severity, line) AS (VALUES (1, 'CG-SEC-001', 'high', 1), (2, 'CG-SEC-003', 'high', 2), (3, 'CG-SEC-004', 'high', 2), (4, 'CG-CON-002', 'medium', 3), (5, 'CG-SEC-001', 'high', 2)) SELECT {K} AS change_id, rule_id, severity, CAST(line AS INTEGER) AS start_line FROM part JOIN r ON p_partkey % 6 = m")
+def call_rules(spark, sf_dir):
+    """CG-SEC-001 to 004, CG-CON-002: rules on parsed calls, by the names that imports give them; lines where files don't parse."""
+    body = F.coalesce(*[when(f"p_partkey % 6 = {i}", t) for i, t in enumerate(CALLED)])
+    files = of_parts(spark, sf_dir, ("head", "a.py", body))
+    lines = F.filter(F.split("text", "\n"), lambda x, i: i < F.size(F.split("text", "\n")) - 1)
+    patch = F.concat(F.lit("--- /dev/null\n+++ b/a.py\n@@ -0,0 +1,"), F.size(lines).cast("string"), F.lit(" @@\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"), F.lit("\n"))
+    diff = kept(diff_lines(files.select("change_id", patch.alias("patch_text"))), "call-diff")
+    return calls_of.security_findings(diff, kept(indexed(files), "call-index")).select("change_id", "rule_id", "severity", "start_line")

@@ -15,7 +15,7 @@ COMMON_NAMES = """
     then catch emit on off use next reset flush log info debug warn error find list count exists post put patch toString valueOf main
     setup teardown configure connect query insert select
 """.split()
-CALL = ["line", "end_line", "callee", "name", "receiver", "positional", "keywords", "star_args", "star_kwargs", "awaited", "enclosing"]
+CALL = ["line", "end_line", "callee", "name", "receiver", "positional", "keywords", "star_args", "star_kwargs", "awaited", "enclosing", "first"]
 
 
 def normal_path(path: Column) -> Column:
@@ -142,7 +142,7 @@ def references(index: DataFrame, imports: DataFrame) -> DataFrame:
     guessed = calls.where(F.col("receiver").isNotNull() & ~F.col("receiver").isin(*itself)).join(methods.join(telling, ["change_id", "name"]), ["change_id", "name"])
     by_method = out(within, F.col("defined_in"), F.col("qualname"), drop=binds).unionByName(out(by_class, F.col("defined_in"), F.col("qualname"), drop=bound)).unionByName(out(guessed, F.col("defined_in"), F.col("qualname"), "name_only", binds))
 
-    empty = {"positional": F.lit(None).cast("int"), "keywords": F.lit(None).cast("array<string>"), "star_args": F.lit(None).cast("boolean"), "star_kwargs": F.lit(None).cast("boolean"), "awaited": F.lit(None).cast("boolean"), "enclosing": F.lit(None).cast("string"), "receiver": F.lit(None).cast("string")}
+    empty = {"positional": F.lit(None).cast("int"), "keywords": F.lit(None).cast("array<string>"), "star_args": F.lit(None).cast("boolean"), "star_kwargs": F.lit(None).cast("boolean"), "awaited": F.lit(None).cast("boolean"), "enclosing": F.lit(None).cast("string"), "receiver": F.lit(None).cast("string"), "first": F.lit(None).cast("string")}
     uses = of_symbols.select("change_id", F.col("to").alias("target"), F.col("imported_name").alias("symbol"), "path", F.lit("import").alias("kind"), F.lit("resolved").alias("resolution"), F.lit(False).alias("drop_first"), F.col("import_line").alias("line"), F.col("import_line").alias("end_line"), F.col("imported_name").alias("callee"), F.col("imported_name").alias("name"), *[c.alias(n) for n, c in empty.items()])
     every = plain.select(keep).unionByName(by_method.select(keep)).unionByName(uses.select(keep))
     # max of a struct: resolved comes after name_only

@@ -423,9 +423,19 @@ class File:
             args = self.split(opening + 1, self.pair[opening])
             self.calls.append({
                 "line": t.line, "end_line": self.ts[self.pair[opening]].line, "callee": ".".join(names), "name": t.text, "receiver": ".".join(names[:-1]) or (None if whole else "?"), "positional": sum(not self.is_(a, "...") for a, _ in args),
-                "keywords": [], "star_args": any(self.is_(a, "...") for a, _ in args), "star_kwargs": False, "awaited": self.is_(first - 1, "await"), "enclosing": open_[-1][2] if open_ else None,
+                "keywords": [], "star_args": any(self.is_(a, "...") for a, _ in args), "star_kwargs": False, "awaited": self.is_(first - 1, "await"), "enclosing": open_[-1][2] if open_ else None, "first": self.first(args),
             })
 
+    def first(self, args: list[tuple[int, int]]) -> str | None:
+        """text for a plain string, built for one that is put together, other, or null without arguments."""
+        if not args:
+            return None
+        a, z = args[0]
+        kinds = {self.ts[k].kind for k in range(a, z)}
+        if kinds == {"string"} and z - a == 1:
+            return "text"
+        return "built" if "string" in kinds and any(self.is_(k, "+", "${") for k in range(a, z)) else "other"
+
     def declared(self, k: int, begin: int) -> bool:
         """Whether the name at k is that of a method, not a call: only modifiers stand between its start and it."""
         return all(self.word(j) in MODIFIERS or self.is_(j, "*") for j in range(begin, k))

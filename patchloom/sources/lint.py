@@ -43,6 +43,17 @@ def text_of(node: ast.AST) -> str | None:
     return None
 
 
+def own_names(node: ast.AST) -> Iterator[ast.Name]:
+    """Names of an expression that aren't bound within it by a comprehension or a lambda."""
+    inner: set[str] = set()
+    for n in ast.walk(node):
+        if isinstance(n, ast.comprehension):
+            inner |= {x.id for x in ast.walk(n.target) if isinstance(x, ast.Name)}
+        elif isinstance(n, ast.Lambda):
+            inner |= {a.arg for a in [*n.args.args, *n.args.kwonlyargs]}
+    yield from (n for n in ast.walk(node) if isinstance(n, ast.Name) and n.id not in inner)
+
+
 def at_call(n: ast.Call, full: str) -> Iterator[str]:
     given = {k.arg: k.value for k in n.keywords if k.arg}
     if full in CALLS:
@@ -59,6 +70,10 @@ def at_call(n: ast.Call, full: str) -> Iterator[str]:
         yield "S201"
     if full.endswith("Environment") and "autoescape" not in given and full.startswith(("jinja2", "Environment")):
         yield "S701"
+    mode = constant(n.args[1]) if len(n.args) > 1 else constant(given.get("mode"))
+    # writable by all, or executable by all
+    if full == "os.chmod" and isinstance(mode, int) and mode & 0o022 | mode & 0o111:
+        yield "S103"
     if full.endswith(".extractall"):
         yield "S202"
     if any(k and PASSWORD.search(k) and isinstance(constant(v), str) and constant(v) for k, v in given.items()):
@@ -125,6 +140,9 @@ def diagnostics(text: str) -> list[tuple[int, str, str]]:
             if len(keys) > len(set(keys)):
                 say(n, "F601")
         elif isinstance(n, ast.For):
+            taken_over = {x.id for x in ast.walk(n.target) if isinstance(x, ast.Name)} & {x.id for x in own_names(n.iter)}
+            for v in sorted(taken_over):
+                say(n.target, "B020", v)
             late = {x.id for x in ast.walk(n.target) if isinstance(x, ast.Name)}
             for f in (x for s in n.body for x in [s, *own(s)] if isinstance(x, (ast.Lambda, *FUNCTIONS))):
                 taken = {a.arg for a in [*f.args.args, *f.args.kwonlyargs]}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import io
 import tokenize
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 PARAM = "struct<name: string, kind: string, has_default: boolean, `default`: string, annotation: string>"
 SYMBOL = f"struct<ord: int, name: string, qualname: string, kind: string, start_line: int, end_line: int, params: array<{PARAM}>, returns: string, is_async: boolean, parent: string, exported: boolean, decorators: array<string>, complexity: int, body: string, try_blocks: int, assertions: int>"
 IMPORT = "struct<line: int, module: string, imported_name: string, local_name: string, kind: string, level: int>"
-CALL = "struct<line: int, end_line: int, callee: string, name: string, receiver: string, positional: int, keywords: array<string>, star_args: boolean, star_kwargs: boolean, awaited: boolean, enclosing: string>"
+CALL = "struct<line: int, end_line: int, callee: string, name: string, receiver: string, positional: int, keywords: array<string>, star_args: boolean, star_kwargs: boolean, awaited: boolean, enclosing: string, first: string>"
 INDEX = f"change_id string, side string, path string, error string, error_line int, symbols array<{SYMBOL}>, imports array<{IMPORT}>, calls array<{CALL}>, identifiers array<struct<name: string, line: int>>"
 
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
@@ -40,6 +41,19 @@ def own(node: ast.AST) -> Iterator[ast.AST]:
             todo.extend(ast.iter_child_nodes(n))
 
 
+def first_argument(call: ast.Call) -> str | None:
+    """text for a plain string, built for one that is put together, other, or null without arguments."""
+    if not call.args:
+        return None
+    a = call.args[0]
+    if isinstance(a, ast.Constant) and isinstance(a.value, str):
+        return "text"
+    joined = isinstance(a, ast.JoinedStr) and any(isinstance(v, ast.FormattedValue) for v in a.values)
+    added = isinstance(a, ast.BinOp) and any(isinstance(x, ast.JoinedStr) or (isinstance(x, ast.Constant) and isinstance(x.value, str)) for x in ast.walk(a))
+    formatted = isinstance(a, ast.Call) and isinstance(a.func, ast.Attribute) and a.func.attr == "format"
+    return "built" if joined or added or formatted else "text" if isinstance(a, ast.JoinedStr) else "other"
+
+
 def params(args: ast.arguments) -> list[dict]:
     plain = [(a, "positional_only") for a in args.posonlyargs] + [(a, "positional") for a in args.args]
     values: list[ast.expr | None] = [None] * (len(plain) - len(args.defaults)) + list(args.defaults)
@@ -51,12 +65,13 @@ def params(args: ast.arguments) -> list[dict]:
 
 
 def normal(text: str) -> str:
-    """Tokens without comments and layout, 20,000 characters of them."""
+    """Tokens without comments and layout; of more than 20,000 characters the rest is a hash, so that any edit shows."""
     skip = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER}
     try:
-        return " ".join(t.string for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type not in skip)[:20_000]
+        out = " ".join(t.string for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type not in skip)
     except (tokenize.TokenError, SyntaxError):
-        return " ".join(text.split())[:20_000]
+        out = " ".join(text.split())
+    return out if len(out) <= 20_000 else f"{out[:20_000]} {hashlib.sha256(out.encode('utf-8', 'replace')).hexdigest()}"
 
 
 def index(text: str) -> dict:
@@ -104,7 +119,7 @@ def index(text: str) -> dict:
                 receiver, _, name = callee.rpartition(".")
                 out["calls"].append({
                     "line": n.lineno, "end_line": n.end_lineno, "callee": callee, "name": name, "receiver": receiver or None, "positional": sum(not isinstance(a, ast.Starred) for a in n.args), "keywords": [k.arg for k in n.keywords if k.arg],
-                    "star_args": any(isinstance(a, ast.Starred) for a in n.args), "star_kwargs": any(k.arg is None for k in n.keywords), "awaited": id(n) in awaited, "enclosing": inside,
+                    "star_args": any(isinstance(a, ast.Starred) for a in n.args), "star_kwargs": any(k.arg is None for k in n.keywords), "awaited": id(n) in awaited, "enclosing": inside, "first": first_argument(n),
                 })
             if isinstance(n, ast.Name):
                 out["identifiers"].append({"name": n.id, "line": n.lineno})

@@ -187,3 +187,26 @@ def test_matching_of_long_chains_and_all_small_graphs():
         assert len(set(got.values())) == len(got) and all(x in fits[p] for x, p in got.items())
         best = max(sum((p, x) in edges for p, x in zip("abcd", w, strict=True)) for w in permutations("wxyz"))
         assert len(got) == best
+
+
+def test_rules_on_calls(spark):
+    from patchloom.plans.call_rules import call_findings, security_findings
+    from patchloom.sources.code import indexed
+
+    texts = {
+        "a.py": ["# eval(x)", "s = 'eval(x)'", "from os import system as run", "import yaml as y, pickle", "eval(", "    z", ")", "run(c)", "y.load(f)", "y.load(f, Loader=L)", "y.load(f, L)", "pickle.loads(b)", "import time, os", "async def f():", "    time.sleep(1)", "    def g():", "        time.sleep(2)", "time.sleep(3)", "os.system(q)"],
+        "b.ts": ["import {exec as e, execSync} from 'node:child_process';", "import {exec} from './mine';", "exec(x); execSync('ls'); execSync(`ls ${x}`);", "e('a' + b);", "eval(x); new Function(y); // eval(z)", "setTimeout('go()', 1); setTimeout(go, 1);", "el.insertAdjacentHTML('a', b);", "document.write(x); re.exec(s);", "el.innerHTML = x;"],
+        "broken.py": ["def (", "eval(x)"],
+    }
+    diff = added(spark, texts)
+    index = indexed(spark.createDataFrame([("c", "head", p, "\n".join(ls) + "\n") for p, ls in texts.items()], FILES))
+    got = {(r.rule_id, r.file, r.start_line, r.callee) for r in call_findings(index, diff).collect()}
+    assert got == {
+        ("CG-SEC-001", "a.py", 5, "eval"), ("CG-SEC-003", "a.py", 8, "run"), ("CG-SEC-004", "a.py", 9, "y.load"), ("CG-SEC-004", "a.py", 12, "pickle.loads"), ("CG-CON-002", "a.py", 15, "time.sleep"), ("CG-SEC-003", "a.py", 19, "os.system"),
+        ("CG-SEC-003", "b.ts", 3, "execSync"), ("CG-SEC-003", "b.ts", 4, "e"), ("CG-SEC-001", "b.ts", 5, "eval"), ("CG-SEC-001", "b.ts", 5, "Function"), ("CG-SEC-001", "b.ts", 6, "setTimeout"), ("CG-SEC-002", "b.ts", 7, "el.insertAdjacentHTML"), ("CG-SEC-002", "b.ts", 8, "document.write"),
+    }
+    both = {(r.rule_id, r.file, r.start_line) for r in security_findings(diff, index).collect()}
+    assert both == {(a, b, c) for a, b, c, _ in got} | {("CG-SEC-001", "broken.py", 2), ("CG-SEC-002", "b.ts", 9)}
+    # only what the patch touches counts
+    assert call_findings(index, diff.where("new_line <> 6 and new_line <> 5 and new_line <> 7")).where("file = 'a.py' and start_line = 5").count() == 0
+    assert call_findings(index, diff.where("new_line = 6")).where("file = 'a.py' and start_line = 5").count() == 1

@@ -122,3 +122,10 @@ def test_untested(spark):
     test = "from lib import a, b\ndef test_a():\n    a()\n    b()\n"
     files = [("c", s, p, t) for s, k in (("base", 1), ("head", 2)) for p, t in (("lib.py", lib.format(k)), ("test_lib.py", test))]
     assert [(r.symbol, r.severity) for r in untested(indexed(spark.createDataFrame(files, FILES))).collect()] == [("d", "medium")]
+
+
+def test_lint_of_modes_and_loops():
+    from patchloom.sources.lint import diagnostics
+
+    text = "import os\nos.chmod(p, 0o777)\nos.chmod(p, 0o600)\nos.chmod(p, mode=0o755)\nos.chmod(p, m)\nfor x in x: pass\nfor y in [y for y in z]: pass\nfor a, b in b.items(): pass\n"
+    assert [(line, c) for line, c, _ in diagnostics(text) if c in ("S103", "B020")] == [(2, "S103"), (4, "S103"), (6, "B020"), (8, "B020")]
