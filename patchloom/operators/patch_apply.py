@@ -19,21 +19,27 @@ def place(lines: list[str], block: list[str], want: int, least: int) -> int | No
     return next((at for d in range(REACH + 1) for at in (want - d, want + d) if fits(at)), None)
 
 
-def applied(text: str, hunks: list[tuple[int, list[tuple[str, str]]]]) -> tuple[str | None, str | None]:
-    """(head text, error). Hunks are (old start, [(kind, content)]) in order; each one's drift moves those after it."""
+def applied(text: str, hunks: list[tuple[int, list[tuple[str, str, bool]]]]) -> tuple[str | None, str | None]:
+    """(head text, error). Hunks are (old start, [(kind, content, no_newline)]) in order; each one's drift moves those after it."""
     lines = text.split("\n")
     out: list[str] = []
     at = drift = 0
     for start, body in hunks:
-        block = [c for k, c in body if k != "add"]
+        block = [c for k, c, _ in body if k != "add"]
         # an insertion without context names the line it follows
         want = (start - 1 if block else start) + drift
         found = place(lines, block, want, at)
         if found is None:
             return None, f"hunk at line {start} doesn't fit"
         drift += found - want
-        out += lines[at:found] + [c for k, c in body if k != "del"]
+        out += lines[at:found] + [c for k, c, _ in body if k != "del"]
         at = found + len(block)
+        # a last line without its end on one side only: the empty piece behind the last line end comes or goes
+        old_open, new_open = any(m for k, _, m in body if k != "add"), any(m for k, _, m in body if k != "del")
+        if new_open and not old_open and lines[at:] == [""]:
+            at += 1
+        elif old_open and not new_open and at == len(lines):
+            lines.append("")
     return "\n".join(out + lines[at:]), None
 
 
@@ -45,7 +51,7 @@ def head_files(base: DataFrame, diff: DataFrame) -> DataFrame:
     to its text, so its size bounds the memory, and files that the patch leaves alone don't go to Python.
     """
     good = diff.where("error is null and path is not null")
-    lines = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("hunk", "i", "kind", "content", "old_line", "new_line"))))
+    lines = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("hunk", "i", "kind", "content", "old_line", "new_line", (F.col("no_newline") if "no_newline" in diff.columns else F.lit(False)).alias("no_newline")))))
     touched = good.groupBy("change_id", "path", F.coalesce("old_path", "path").alias("old_path")).agg(F.max("status").alias("status"), lines.alias("lines"))
     both = touched.join(base.select("change_id", F.col("path").alias("old_path"), "text", F.lit(True).alias("there")), ["change_id", "old_path"], "left")
 
@@ -66,13 +72,13 @@ def head_files(base: DataFrame, diff: DataFrame) -> DataFrame:
     return both.select("change_id", "path", "status", "lines", "text", "there").mapInArrow(run, "change_id string, path string, text string, error string")
 
 
-def gathered(lines: list) -> list[tuple[int, list[tuple[str, str]]]]:
-    """A file's hunks as (old start, [(kind, content)]), from its lines in order."""
+def gathered(lines: list) -> list[tuple[int, list[tuple[str, str, bool]]]]:
+    """A file's hunks as (old start, [(kind, content, no_newline)]), from its lines in order."""
     hunks, net = [], 0
     for _, part in groupby(lines, key=lambda x: x["hunk"]):
         h = list(part)
         old = [x["old_line"] for x in h if x["old_line"] is not None]
         # without old lines, the place follows from the new one and what the hunks before have added
-        hunks.append((min(old) if old else min(x["new_line"] for x in h) - 1 - net, [(x["kind"], x["content"]) for x in h]))
+        hunks.append((min(old) if old else min(x["new_line"] for x in h) - 1 - net, [(x["kind"], x["content"], bool(x["no_newline"])) for x in h]))
         net += sum((x["kind"] == "add") - (x["kind"] == "del") for x in h)
     return hunks

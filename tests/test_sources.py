@@ -99,3 +99,90 @@ def test_cobertura_is_read_as_xml(spark):
     reports = [("x", f"<?xml version='1.0'?>\n<coverage>{body}</coverage>"), ("l", "SF:a.py\nDA:1,2\nend_of_record\n"), ("l", two), ("b", "<class filename='z'><line number="), ("e", "<coverage/>")]
     got = {tuple(r) for r in coverage_lines(spark.createDataFrame(reports, "change_id string, text string")).collect()}
     assert got == {("x", "a&b.py", 1, 2), ("x", "a&b.py", 3, 0), ("l", "a.py", 1, 2), ("l", "b.py", 1, 0)}
+
+
+def fields(spark, **patches):
+    rows = diff_lines(spark.createDataFrame(list(patches.items()), "change_id string, patch_text string")).collect()
+    return {k: [r for r in rows if r.change_id == k] for k in patches}
+
+
+def test_headers_of_patches(spark):
+    got = fields(
+        spark,
+        mode="diff --git a/run.sh b/run.sh\nold mode 100644\nnew mode 100755\n",
+        binary="diff --git a/x y.png b/x y.png\nindex 1..2 100644\nBinary files a/x y.png and b/x y.png differ\n",
+        packed="diff --git a/p.bin b/p.bin\nnew file mode 100644\nGIT binary patch\nliteral 3\nKcmZ\n\nliteral 0\ndiff --git a/z.py b/z.py\ndeleted file mode 100644\n--- a/z.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-q\n",
+        rename="diff --git a/a.py b/b.py\nsimilarity index 93%\nrename from a.py\nrename to b.py\n--- a/a.py\n+++ b/b.py\n@@ -1,1 +1,1 @@ def f\n-x\n+y\n",
+        copy="diff --git a/a.py b/c.py\nsimilarity index 100%\ncopy from a.py\ncopy to c.py\n",
+        quoted='diff --git "a/sp\\303\\244t.py" "b/sp\\303\\244t.py"\n--- "a/sp\\303\\244t.py"\n+++ "b/sp\\303\\244t.py"\n@@ -1 +1 @@\n-a\n+b\n',
+        noprefix="diff --git src/a.py src/a.py\n--- src/a.py\n+++ src/a.py\n@@ -1 +1 @@\n-a\n+b\n",
+        plain="--- old/src/a.py\t2024-01-01\n+++ new/src/a.py\t2024-01-02\n@@ -1 +1 @@\n-a\n+b\n--- /dev/null\n+++ new/b.py\n@@ -0,0 +1 @@\n+n\n",
+        bare="--- a.py\n+++ a.py\n@@ -1 +1 @@\n-a\n+b\n--- old/b.py\n+++ new/b.py\n@@ -1 +1 @@\n-a\n+b\n",
+        mail="From 0123456789abcdef Mon Sep 17\nSubject: [PATCH 1/2] Say it\n---\n a.py | 2 +-\n\ndiff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n-a\n\\ No newline at end of file\n+b\n\\ No newline at end of file\n-- \n2.40\n",
+        more="--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n-a\n+b\n+c\n",
+        lone="diff --git a/a b/a\n--- a/a\n@@ -1 +1 @@\n",
+        drive="--- a/C:/x\n+++ b/C:/x\n@@ -1 +1 @@\n-a\n+b\n",
+    )
+    one = {k: v[0] for k, v in got.items()}
+    assert (one["mode"].path, one["mode"].old_mode, one["mode"].new_mode, one["mode"].kind) == ("run.sh", "100644", "100755", None)
+    assert (one["binary"].path, one["binary"].is_binary) == ("x y.png", True)
+    assert [(r.path, r.status, r.is_binary, r.kind) for r in got["packed"]] == [("p.bin", "added", True, None), ("z.py", "deleted", False, "del")]
+    assert (one["rename"].old_path, one["rename"].path, one["rename"].status, one["rename"].similarity, one["rename"].section) == ("a.py", "b.py", "renamed", 93, "def f")
+    assert (one["copy"].status, one["copy"].similarity) == ("copied", 100)
+    assert {r.path for r in got["quoted"]} == {"spät.py"} and {r.path for r in got["noprefix"]} == {"src/a.py"}
+    assert [(r.path, r.old_path, r.status) for r in got["plain"]] == [("src/a.py", "src/a.py", "modified")] * 2 + [("b.py", None, "added")]
+    assert {r.path for r in got["bare"]} == {"a.py", "new/b.py"} and {r.format for r in got["bare"]} == {"unified"}
+    assert [(r.kind, r.no_newline, r.format, r.subject) for r in got["mail"]] == [("del", True, "format-patch", "Say it"), ("add", True, "format-patch", "Say it")]
+    assert all(one[k].error for k in ("more", "lone", "drive"))
+
+
+def test_patches_of_git_give_its_head(spark, tmp_path):
+    """Random trees by git itself: edits, renames, deletions, odd names, and last lines with and without their end."""
+    import random
+    import shutil
+    import subprocess
+
+    import pytest
+
+    from patchloom.plans.workspace import whole_head
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    rng = random.Random(11)
+    text = lambda: "\n".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40))) + rng.choice(["", "\n"])
+    trees = []
+    for k in range(12):
+        names = [f"d{k}/f{i}.py" for i in range(4)] + ["sp ace.py", "ümlaut.py", 'quo"te.py']
+        base = {n: text() for n in names}
+        head = {}
+        for n, t in base.items():
+            lines = t.split("\n")
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(lines))
+                lines[at : at + rng.randint(0, 1)] = [rng.choice("xyz")] * rng.randint(0, 2) or ["w"]
+            way = rng.random()
+            if way < 0.1:
+                continue
+            head[n.replace("/f", "/moved") if way < 0.25 else n] = "\n".join(lines) if way > 0.4 else t + rng.choice(["", "", "end", "\n"])
+        head["new.py"] = text()
+        trees.append((base, {n: t for n, t in head.items() if t}))
+    rows = []
+    git = lambda d, *a: subprocess.run(["git", "-C", str(d), "-c", "user.name=t", "-c", "user.email=t@t", "-c", "core.autocrlf=false", *a], check=True, capture_output=True).stdout
+    for k, (base, head) in enumerate(trees):
+        d = tmp_path / str(k)
+        d.mkdir()
+        git(d, "init", "-q")
+        for tree in (base, head):
+            for f in d.glob("**/*.py"):
+                f.unlink()
+            for n, t in tree.items():
+                (d / n).parent.mkdir(exist_ok=True)
+                (d / n).write_bytes(t.encode())
+            git(d, "add", "-A")
+            git(d, "commit", "-qm", "x", "--allow-empty")
+        rows.append((str(k), git(d, "diff", "-M", "HEAD~1", "HEAD").decode()))
+    diff = diff_lines(spark.createDataFrame(rows, "change_id string, patch_text string")).cache()
+    assert not diff.where("error is not null").collect() and diff.where("no_newline").count() > 5 and diff.where("status = 'renamed'").count() > 2
+    base = spark.createDataFrame([(str(k), n, t) for k, (b, _) in enumerate(trees) for n, t in b.items()], "change_id string, path string, text string")
+    got = {(r.change_id, r.path): r.text for r in whole_head(base, diff).collect()}
+    assert got == {(str(k), n): t for k, (_, h) in enumerate(trees) for n, t in h.items()}
