@@ -28,6 +28,10 @@ BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.in
 BLOCK_SQL = "part int, block int, before long, first long, last long, n_docs int, n_tokens long, dict_hash string, docs array<long>, counts array<long>, offsets binary, payload binary"
 
 
+#: Bytes of texts that one task sorts and encodes.
+PART_BYTES = 64 << 20
+
+
 def train(docs: DataFrame, vocab: str, sample_docs: int = 400, sample_chars: int = 16384, size: int = 64 << 10) -> bytes:
     """A dictionary fitted on a bounded sample: the sample_docs rows of least hash, at most sample_chars of each."""
     import zstandard
@@ -55,7 +59,9 @@ def write(docs: DataFrame, path: str, vocab: str = "word_bpe_49k.json", end_id:
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("h"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many parts as the texts' bytes ask for, so that a task's sort is bounded whatever the table's size
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

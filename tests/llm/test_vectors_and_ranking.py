@@ -261,3 +261,17 @@ def test_jaccard_runs_go_on_when_every_late_edge_is_new(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "other words altogether in this one")], "doc_id long, text string")
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)} and len(calls) == 2
+
+
+def test_token_store_has_parts_by_bytes(spark, monkeypatch):
+    from patchloom.llm import token_store
+    from patchloom.llm.common import scratch
+
+    monkeypatch.setattr(token_store, "PART_BYTES", 1000)
+    docs = spark.createDataFrame([(i, f"word{i} " * 40) for i in range(200)] + [(None, None)], "doc_id long, text string")
+    path = scratch(spark, "parts")
+    token_store.write(docs, path, "word_bpe_49k.json")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    # some 60 kB in parts of 1 kB: many more than the session's four
+    assert blocks.select("part").distinct().count() > 30
+    assert token_store.summary(spark, path).count() == 201
