@@ -12,9 +12,9 @@ from ..sources.diff import diff_lines
 from ..sources.lint import new_diagnostics
 from ..sources.python_code import part
 from ..sources.tables import kept, table
-from . import call_rules as calls_of, coverage_gaps, evaluation, evidence, logic, migrations, references, renames, report, scope_rules, secrets, tests_mapping, workspace
+from . import baselines, call_rules as calls_of, coverage_gaps, evaluation, evidence, logic, migrations, references, renames, report, scope_rules, secrets, synthesis, tests_mapping, workspace
 from .api_contract import contract_findings, symbol_changes
-from .line_rules import dependency_changes
+from .line_rules import dependency_changes, line_findings
 from .registry import query
 
 K = "CAST(p_partkey AS VARCHAR)"
@@ -317,3 +317,48 @@ def call_rules(spark, sf_dir):
     patch = F.concat(F.lit("--- /dev/null\n+++ b/a.py\n@@ -0,0 +1,"), F.size(lines).cast("string"), F.lit(" @@\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"), F.lit("\n"))
     diff = kept(diff_lines(files.select("change_id", patch.alias("patch_text"))), "call-diff")
     return calls_of.security_findings(diff, kept(indexed(files), "call-index")).select("change_id", "rule_id", "severity", "start_line")
+
+
+@query("""SELECT o_orderkey, sha256('{"max_output_tokens":' || o_orderkey || ',"model":"m' || o_custkey % 3 || '","prompt_id":"review","prompt_version":"1","provider":"p","schema":{"a":1},"schema_name":"s","seed":7,"system":"' || o_orderpriority || '","temperature":0.0,"user":"' || o_orderstatus || '"}') AS fingerprint, CASE WHEN o_orderkey % 2 = 0 THEN 'a' || o_orderkey END AS text, CASE WHEN o_orderkey % 2 = 1 THEN 'replay_miss' END AS error FROM orders""")
+def answers_replayed(spark, sf_dir):
+    """Requests by the hash of their canonical JSON, and the recorded answer of each."""
+    requests = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lit("p").alias("provider"), F.concat(F.lit("m"), F.col("o_custkey") % 3).alias("model"), F.lit("review").alias("prompt_id"), F.lit("1").alias("prompt_version"), F.col("o_orderpriority").alias("system"), F.col("o_orderstatus").alias("user"),
+        F.lit('{"a":1}').alias("schema"), F.lit("s").alias("schema_name"), F.col("o_orderkey").alias("max_output_tokens"), F.lit(0.0).alias("temperature"), F.lit(7).alias("seed"),
+    )
+    own = requests.where("o_orderkey % 2 = 0").withColumn("fingerprint", synthesis.fingerprint())
+    recordings = own.select("fingerprint", F.concat(F.lit("a"), "o_orderkey").alias("text"), F.col("o_orderkey").alias("recorded_at"))
+    return synthesis.replayed(requests, recordings).select("o_orderkey", "fingerprint", "text", "error")
+
+
+@query(f"""WITH k AS (SELECT {K} AS change_id, p_partkey AS k, p_size AS s FROM part)
+ SELECT change_id, 'rule' AS which, 'F-1' AS id, CAST(NULL AS DOUBLE) AS support, k % 4 = 0 AS backed FROM k UNION ALL SELECT change_id, 'ai', NULL, 1.0, false FROM k WHERE k % 4 = 1 UNION ALL SELECT change_id, 'ai', NULL, 0.5, false FROM k WHERE k % 4 = 2 UNION ALL SELECT change_id, 'rejected', 'unknown_evidence', NULL, false FROM k WHERE k % 4 = 3""")
+def model_risks(spark, sf_dir):
+    """ST9, ST10, J28, J29, X20: answers' risks, read from text around JSON, checked, agreed on by samples, and merged with findings."""
+    risk = lambda category, e: text('{"title": "t{k}", "category": "', category, '", "severity": "high", "confidence": "low", "description": "d {s}", "evidence_ids": ["', e, '"]}')
+    answer = lambda r: F.concat(F.lit('Sure:\n{"additional_risks": ['), r, F.lit("]}\nbye"))
+    first = answer(risk(when("p_partkey % 4 = 0", "security", "concurrency"), when("p_partkey % 4 = 3", "E9", "E1")))
+    second = answer(when("p_partkey % 4 = 2", "", risk(when("p_partkey % 4 = 0", "security", "concurrency"), "E1")))
+    parts = table(spark, sf_dir, "part")
+    change = F.col("p_partkey").cast("string").alias("change_id")
+    answers = parts.select(change, F.posexplode(F.array(first, second)).alias("sample", "text"))
+    findings = parts.select(change, F.lit("F-1").alias("id"), F.lit("security").alias("category"), F.lit("deterministic").alias("kind"), F.lit("a.py").alias("file"), (F.col("p_size") + 2).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    cited = parts.select(change, F.lit("E1").alias("id"), F.lit("a.py").alias("file"), F.col("p_size").cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit("x").alias("excerpt"))
+    kept_findings, new, rejected = synthesis.synthesised(findings, cited, cited.select("change_id", F.col("file").alias("path")), answers, parts.select(change, F.lit(2).alias("samples")))
+    none = F.lit(None).cast("double").alias("support")
+    out = kept_findings.select("change_id", F.lit("rule").alias("which"), "id", none, (F.size("corroborated_by") > 0).alias("backed"))
+    out = out.unionByName(new.select("change_id", F.lit("ai").alias("which"), F.lit(None).cast("string").alias("id"), "support", F.lit(False).alias("backed")))
+    return out.unionByName(rejected.select("change_id", F.lit("rejected").alias("which"), F.col("reason").alias("id"), none, F.lit(False).alias("backed")))
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, p_partkey % 5 AS m FROM part), p AS (SELECT 'baseline-keyword' AS system, k, m IN (0, 1) AS hit, m = 2 AS wrong FROM c UNION ALL SELECT 'rules', k, m = 0, false FROM c), n AS (SELECT system, count(*) FILTER (hit) AS tp, count(*) FILTER (wrong) AS fp, count(*) FILTER (k % 5 < 2 AND NOT hit) AS fn, count(*) FILTER (wrong) AS wrong_negatives FROM p GROUP BY system)
+ SELECT system, tp, fp, fn, round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 4) AS precision, round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 4) AS recall, wrong_negatives FROM n""")
+def systems_compared(spark, sf_dir):
+    """The keyword baseline and the rules over the same labelled changes, one of five without a label but with a word."""
+    line = F.coalesce(when("p_partkey % 5 = 0", "x = eval(y{k})"), when("p_partkey % 5 = 1", "z = pickle.loads(b)"), when("p_partkey % 5 = 2", "eval(c{k})"), text("plain {s}"))
+    diff = diff_lines(patches(table(spark, sf_dir, "part"), F.col("p_partkey"), F.lit("a.py"), line))
+    rules = line_findings(diff.where("content like 'x = %'")).withColumn("end_line", F.lit(None).cast("int"))
+    cases = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("case_id"), (F.col("p_partkey") % 5 == 2).alias("negative"), F.lit("x").alias("category"))
+    labels = table(spark, sf_dir, "part").where("p_partkey % 5 < 2").select(F.col("p_partkey").cast("string").alias("case_id"), F.lit("l").alias("label_id"), F.lit("security").alias("category"), F.lit("a.py").alias("file"), F.lit(1).alias("line_lo"), F.lit(1).alias("line_hi"))
+    found = kept(baselines.keywords(diff).unionByName(baselines.of_findings(rules, "rules")), "predictions")
+    return baselines.compared(found, labels, cases).select("system", "tp", "fp", "fn", "precision", "recall", "wrong_negatives")
