@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -110,4 +110,10 @@ def maximum_matching(candidates: DataFrame) -> DataFrame:
             fits.setdefault(p, []).append(label)
         return pd.DataFrame([(g.case_id.iloc[0], p, label) for label, p in sorted(matched(fits).items())], columns=["case_id", "pred_id", "label_id"])
 
-    return candidates.select("case_id", "pred_id", "label_id").groupBy("case_id").applyInPandas(assign, "case_id string, pred_id string, label_id string")
+    # a pair that has no other choice on either side is matched as it is; only the rest is put together by case
+    pairs = candidates.select("case_id", "pred_id", "label_id").distinct()
+    choices = lambda key: F.count("*").over(Window.partitionBy("case_id", key))
+    counted = pairs.withColumn("of_pred", choices("pred_id")).withColumn("of_label", choices("label_id"))
+    alone = (F.col("of_pred") == 1) & (F.col("of_label") == 1)
+    rest = counted.where(~alone).select(pairs.columns).groupBy("case_id").applyInPandas(assign, "case_id string, pred_id string, label_id string")
+    return counted.where(alone).select(pairs.columns).unionByName(rest)

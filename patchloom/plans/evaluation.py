@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
@@ -65,29 +68,36 @@ RESAMPLES, PRIME = 2000, 2147483647
 POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10)]
 
 
-def with_draws(rows: DataFrame, case: str, resample: str, name: str) -> DataFrame:
-    """rows with how often a resample draws a case: a keyed hash, mixed by squares modulo a prime, read as a Poisson number.
-
-    Every step is a column of its own, as one expression would compute each square's inside twice.
-    """
-    c, b = F.pmod(F.col(case), F.lit(PRIME)), F.col(resample)
-    out = rows.withColumn(name, (c * 48271 + b * 69621 + 1) % PRIME)
+def draws(cases: np.ndarray, resamples: np.ndarray) -> np.ndarray:
+    """How often each resample (columns) draws each case (rows): a keyed hash of both, mixed by squares modulo a prime and read
+    as a Poisson number."""
+    c, b = cases.astype("i8")[:, None], resamples.astype("i8")[None]
+    x = (c % PRIME * 48271 + b * 69621 + 1) % PRIME
     for turn in (16807, 39373, 69069):
-        x = F.col(name)
-        out = out.withColumn(name, (x * x + (F.pmod(F.col(case), F.lit(65536)) + 1) * turn + b * (turn + 2)) % PRIME)
-    return out.withColumn(name, sum(((F.col(name) > limit).cast("int") for limit in POISSON), F.lit(0)))
+        x = (x * x + (c % 65536 + 1) * turn + b * (turn + 2)) % PRIME
+    return np.searchsorted(np.array(POISSON), x, side="left")
 
 
 def bootstrap(counts: DataFrame, case: str, resamples: int = RESAMPLES) -> DataFrame:
     """metric, lo, hi of precision, recall and f1: the 2.5 and 97.5 % ranks over resamples of cases with replacement.
 
     counts: a case's integer key, tp, fp, fn. Each resample draws every case a Poisson number of times, so rows need no
-    numbers and meet only in sums, combined before the shuffle: one row a resample and task. Resamples in which a metric
+    numbers and meet only in sums: a task hands on one row a resample. Resamples in which a metric
     isn't defined don't count for it.
     """
-    each = counts.select(F.col(case).cast("long").alias("c"), "tp", "fp", "fn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
-    each = with_draws(each, "c", "b", "k").where("k > 0")
-    total = each.groupBy("b").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
+    schema = pa.schema([("b", pa.int32()), ("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, sums = np.arange(resamples), np.zeros((3, resamples), dtype="i8")
+        for part in batches:
+            for at in range(0, part.num_rows, 500):
+                rows = part.slice(at, 500)
+                drawn = draws(rows.column("c").to_numpy(zero_copy_only=False), numbers)
+                sums += np.stack([rows.column(k).to_numpy(zero_copy_only=False).astype("i8") @ drawn for k in ("tp", "fp", "fn")])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *map(pa.array, sums)], schema=schema)
+
+    known = counts.where(F.col(case).isNotNull()).select(F.col(case).cast("long").alias("c"), *[F.coalesce(F.col(k).cast("long"), F.lit(0)).alias(k) for k in ("tp", "fp", "fn")])
+    total = known.repartition("c").mapInArrow(run, "b int, tp long, fp long, fn long").groupBy("b").agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
     share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
     metrics = {"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)}

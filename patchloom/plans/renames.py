@@ -46,20 +46,16 @@ def candidates(changes: DataFrame, least: float = LEAST) -> DataFrame:
 def renames(changes: DataFrame, least: float = LEAST) -> DataFrame:
     """change_id, path, old_name, new_name, ratio: every removed symbol in order takes the free added one most like it.
 
-    Equal ratios go to the earlier added symbol. Candidates of a file are few after the ratio, so a file is one group.
+    Equal ratios go to the earlier added symbol. A file's pairs, few after the ratio, are folded as one sorted array.
     """
 
-    def paired(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, mine in rows.sort_values(["removed_ord", "added_ord"], kind="stable").groupby("removed_ord", sort=True):
-            free = mine[~mine["added_ord"].isin(taken)]
-            if len(free):
-                best = free.loc[free["ratio"].idxmax()]
-                taken.add(best["added_ord"])
-                out.append((best["change_id"], best["path"], best["removed_name"], best["added_name"], best["ratio"]))
-        return pd.DataFrame(out, columns=["change_id", "path", "old_name", "new_name", "ratio"])
-
-    return candidates(changes, least).groupBy(*KEY).applyInPandas(paired, "change_id string, path string, old_name string, new_name string, ratio double")
+    pair = F.struct(F.col("removed_ord").alias("r"), (-F.col("ratio")).alias("unlike"), F.col("added_ord").alias("a"), "removed_name", "added_name")
+    taken = F.aggregate(
+        F.array_sort(F.collect_list(pair)), F.array().cast("array<struct<r: int, unlike: double, a: int, removed_name: string, added_name: string>>"),
+        lambda done, x: F.when(F.exists(done, lambda d: (d["r"] == x["r"]) | (d["a"] == x["a"])), done).otherwise(F.concat(done, F.array(x))),
+    )
+    chosen = candidates(changes, least).groupBy(*KEY).agg(taken.alias("taken")).select(*KEY, F.explode("taken").alias("t"))
+    return chosen.select(*KEY, F.col("t.removed_name").alias("old_name"), F.col("t.added_name").alias("new_name"), (-F.col("t.unlike")).alias("ratio"))
 
 
 def with_renames(changes: DataFrame, pairs: DataFrame) -> DataFrame:

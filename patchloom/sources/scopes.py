@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -308,17 +309,12 @@ def read(text: str) -> list[dict]:
 def scope_rows(files: DataFrame) -> DataFrame:
     """change_id, side, path, text of Python files to their bindings, uses, exports and statements out of place."""
 
-    def run(batches) -> Iterator:
-        import pandas as pd
+    fields = pa.schema([(c, pa.string()) for c in ("change_id", "side", "path")] + [("kind", pa.string()), ("scope", pa.int32()), ("name", pa.string()), ("ord", pa.int32()), ("line", pa.int32()), ("binding", pa.string()), ("forks", pa.list_(pa.string())), ("chain", pa.list_(pa.struct([("scope", pa.int32()), ("ordered", pa.bool_())])))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, s, p, t in b.itertuples(index=False):
-                rows = read(t if isinstance(t, str) else "")
-                if rows:
-                    found = pd.DataFrame(rows)
-                    found.insert(0, "path", p)
-                    found.insert(0, "side", s)
-                    found.insert(0, "change_id", c)
-                    yield found
-
-    return files.where(F.lower("path").rlike(r"\.pyi?$")).select("change_id", "side", "path", "text").mapInPandas(run, SCHEMA)
+            found = [{"change_id": f["change_id"], "side": f["side"], "path": f["path"], **row} for f in b.to_pylist() for row in read(f["text"] or "")]
+            for k in range(0, len(found), 20_000):
+                yield pa.RecordBatch.from_pylist(found[k : k + 20_000], schema=fields)
+
+    return files.where(F.lower("path").rlike(r"\.pyi?$")).select("change_id", "side", "path", "text").mapInArrow(run, SCHEMA)
