@@ -33,6 +33,28 @@ def changed_coverage(diff: DataFrame, coverage: DataFrame) -> DataFrame:
     return added.join(matched_paths(added, report), ["change_id", "path"]).join(report, ["change_id", "cov_path", "line"]).select("change_id", "path", "line", "hits")
 
 
+#: Share of a report's lines that may lie where no code is before it counts as stale (fixed value).
+STALE = 0.10
+
+
+def stale(files: DataFrame, coverage: DataFrame, most: float = STALE) -> DataFrame:
+    """change_id, path, share of files (change_id, path, text) whose report speaks of other lines than the file has: more than
+    ``most`` of them lie behind its end, or are blank or comments."""
+    report = coverage.select("change_id", F.col("path").alias("cov_path"), "line").distinct()
+    at = matched_paths(files, report).join(report, ["change_id", "cov_path"]).select("change_id", "path", "line")
+    lines = files.where("text is not null").select("change_id", "path", F.split("text", "\n").alias("lines"))
+    text = F.trim(F.try_element_at("lines", F.col("line")))
+    off = text.isNull() | (text == "") | text.startswith("#") | text.startswith("//")
+    counted = at.where("line >= 1").join(lines, ["change_id", "path"]).groupBy("change_id", "path").agg(F.avg(off.cast("double")).alias("share"))
+    return counted.where(F.col("share") > most)
+
+
+def unmatched(files: DataFrame, coverage: DataFrame) -> DataFrame:
+    """change_id, cov_path of reported files that stand for none of the change's."""
+    report = coverage.select("change_id", F.col("path").alias("cov_path")).distinct()
+    return report.join(matched_paths(files, report).select("change_id", "cov_path"), ["change_id", "cov_path"], "left_anti")
+
+
 def patch_coverage(diff: DataFrame, coverage: DataFrame) -> DataFrame:
     """change_id, covered, executable, percent (one digit; no row where nothing is executable)."""
     out = changed_coverage(diff, coverage).groupBy("change_id").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count("*").alias("executable"))

@@ -211,3 +211,14 @@ def test_rules_on_calls(spark):
     # only what the patch touches counts
     assert call_findings(index, diff.where("new_line <> 6 and new_line <> 5 and new_line <> 7")).where("file = 'a.py' and start_line = 5").count() == 0
     assert call_findings(index, diff.where("new_line = 6")).where("file = 'a.py' and start_line = 5").count() == 1
+
+
+def test_stale_and_unmatched_reports(spark):
+    from patchloom.plans.coverage_gaps import stale, unmatched
+
+    files = spark.createDataFrame([("c", "src/a.py", "x = 1\n# note\n\ny = 2\n"), ("c", "src/b.py", "x = 1\ny = 2\n"), ("c", "src/n.py", None), ("d", "src/a.py", "x = 1\n")], "change_id string, path string, text string")
+    rows = [("c", "a.py", 1), ("c", "a.py", 4), ("c", "a.py", 9), ("c", "b.py", 1), ("c", "b.py", 2), ("c", "b.py", 2), ("c", "other.py", 1), ("c", "n.py", 1), ("d", "a.py", 1)]
+    coverage = spark.createDataFrame([(*r, 1) for r in rows], "change_id string, path string, line int, hits long")
+    assert [(r.change_id, r.path, round(r.share, 3)) for r in stale(files, coverage).collect()] == [("c", "src/a.py", 0.333)]
+    assert [tuple(r) for r in unmatched(files, coverage).collect()] == [("c", "other.py")]
+    assert stale(files.where("false"), coverage).count() == 0
