@@ -23,7 +23,7 @@ BY_CALL = ("CG-SEC-001", "CG-SEC-003", "CG-SEC-004")
 
 def named_calls(index: DataFrame) -> DataFrame:
     """Head calls with ``full``: the callee by the name that the file's imports give its first part."""
-    head = index.where("side = 'head' and error is null")
+    head = index.where("side = 'head' and error is null").hint("merge")
     calls = part(head, "calls").withColumn("root", F.substring_index("callee", ".", 1))
     python = language(F.col("path")) == "python"
     whole = F.when(F.col("module").startswith(F.concat(F.col("local_name"), F.lit("."))), F.col("local_name")).otherwise(F.col("module"))

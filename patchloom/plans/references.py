@@ -74,7 +74,8 @@ def resolved_imports(index: DataFrame, files: DataFrame | None = None, paths: Da
     candidates; of those that exist the least rank wins. Imports of files that the change doesn't have are left out.
     files (change_id, side, path, text) bring path aliases; paths (change_id, path) stand for the head's files.
     """
-    head = index.where("side = 'head'")
+    # written tables compress so well that a plan by their size would send sides as large as the code to the driver
+    head = index.where("side = 'head'").hint("merge")
     imports = part(head, "imports").select("change_id", "path", "line", "module", "imported_name", "local_name", "kind", "level")
     dotted = F.regexp_replace("module", r"\.", "/")
     up = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("level"), F.lit(1))), F.col("path"), lambda p, _: folder(p))
@@ -113,6 +114,7 @@ def references(index: DataFrame, imports: DataFrame) -> DataFrame:
     names elsewhere, or else by name alone where the name has one definition and isn't common. A use found in two ways
     counts once, as resolved if one of them is.
     """
+    index, imports = index.hint("merge"), imports.hint("merge")
     head = index.where("side = 'head'")
     calls = part(head, "calls")
     symbols = index.select("change_id", "path", F.explode("symbols").alias("s")).select("change_id", "path", "s.qualname", "s.name", "s.parent", "s.kind", "s.decorators").distinct()

@@ -30,6 +30,7 @@ def candidates(changes: DataFrame, least: float = LEAST) -> DataFrame:
     """
     band = F.log(F.length("body").cast("double")) / F.log(F.lit((2 - least) / least))
     side = lambda which, s: changes.where(F.col("change") == which).select(*KEY, F.col(f"{s}.kind").alias("kind"), F.coalesce(f"{s}.parent", F.lit("")).alias("parent"), F.col(f"{s}.qualname").alias(f"{which}_name"), F.col(f"{s}.ord").alias(f"{which}_ord"), F.col(f"{s}.body").alias("body")).where("length(body) > 0").withColumn("band", F.floor(band))
+    changes = changes.hint("merge")
     removed, added = side("removed", "old"), side("added", "new").withColumnRenamed("body", "to")
     # a length within the bound lies in the same band or the next one
     removed = removed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))

@@ -81,6 +81,16 @@ def to_text(findings: DataFrame) -> DataFrame:
     return ordered(findings).groupBy("change_id").agg(listed(line).alias("x")).select("change_id", F.array_join("x", "\n").alias("text"))
 
 
+def write(findings: DataFrame, path: str) -> None:
+    """All exports as one table at path, partitioned by format: change_id, body. Spark commits it as a whole or not at all."""
+    parts = {"json": to_json(findings).withColumnRenamed("json", "body"), "sarif": to_sarif(findings).withColumnRenamed("sarif", "body"), "markdown": to_markdown(findings).withColumnRenamed("markdown", "body"), "text": to_text(findings).withColumnRenamed("text", "body")}
+    out = None
+    for name, rows in parts.items():
+        one = rows.select("change_id", "body", F.lit(name).alias("format"))
+        out = one if out is None else out.unionByName(one)
+    out.write.partitionBy("format").parquet(path)
+
+
 def comment(text: Column, most: int = COMMENT) -> Column:
     """A text cut at the last line end before the limit, with a note that it was."""
     head = F.substring(text, 1, most)

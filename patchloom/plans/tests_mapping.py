@@ -18,7 +18,7 @@ MOST = 12
 
 def links_to_tests(index: DataFrame) -> DataFrame:
     """change_id, path, qualname, test_path, test, strength (import, name, indirect): which tests call which symbols."""
-    refs = kept(references(index, kept(resolved_imports(index), "imports")).where("kind = 'call'"), "references")
+    refs = kept(references(index, kept(resolved_imports(index), "imports")).where("kind = 'call'"), "references").hint("merge")
     direct = refs.where(F.col("path").rlike(TEST_PATH) & (F.col("path") != F.col("target"))).select("change_id", F.col("target").alias("path"), F.col("symbol").alias("qualname"), F.col("path").alias("test_path"), F.col("enclosing").alias("test"), F.when(F.col("resolution") == "resolved", "import").otherwise("name").alias("strength")).distinct()
     callers = refs.where("path = target and enclosing is not null").select("change_id", "path", F.col("symbol").alias("qualname"), F.col("enclosing").alias("caller")).distinct()
     hop = callers.join(direct.withColumnRenamed("qualname", "caller"), ["change_id", "path", "caller"]).select("change_id", "path", "qualname", "test_path", "test", F.lit("indirect").alias("strength")).distinct()

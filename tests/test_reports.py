@@ -99,3 +99,12 @@ def test_limiter(spark, tmp_path):
     q = limited(spark.readStream.schema("identity string, hit_id long, ts timestamp").parquet(folder), 3, 60).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.hit_id: r.allowed for r in spark.table("limited").collect()} == {0: True, 1: True, 2: True, 3: False, 4: False, 9: True}
+
+
+def test_all_exports_are_written(spark, tmp_path):
+    f = spark.createDataFrame(FOUND, FINDING)
+    R.write(f, str(tmp_path / "out"))
+    got = {(r.change_id, r.format): r.body for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {(c, k) for c in "cd" for k in ("json", "sarif", "markdown", "text")}
+    assert got["c", "json"] == R.to_json(f).where("change_id = 'c'").first().json and got["d", "text"].startswith("high")
+    R.write(f.where("false"), str(tmp_path / "none"))
