@@ -57,6 +57,8 @@ def mentions(hits: DataFrame, files: DataFrame) -> DataFrame:
     equal words. A file stops at the line with which the column has ``MENTIONS`` of them in all; each later file gives
     one line. Migrations and files of no known language don't count.
     """
+    # both sides grow with the changes; a plan by the sizes of compressed files would send them to the driver
+    hits, files = hits.hint("merge"), files.hint("merge")
     asked = hits.where(F.col("column").isNotNull() & (F.length("column") >= SHORTEST) & ~F.lower("column").isin(*STOPWORDS)).select("change_id", "column", F.col("path").alias("from_path"), F.col("line").alias("from_line")).distinct()
     code = files.where("side = 'head' and text is not null").where(language(F.col("path")).isNotNull() & ~F.col("path").rlike(MIGRATION_PATH))
     lines = code.join(asked.select("change_id").distinct(), "change_id", "left_semi").select("change_id", "path", F.posexplode(F.split("text", "\n")).alias("n", "text"))
@@ -69,7 +71,7 @@ def mentions(hits: DataFrame, files: DataFrame) -> DataFrame:
     # after the first twenty each file gives one line, so what counts before a file is the plain sum until it is reached
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = F.greatest(F.lit(1), F.lit(MENTIONS) - before)
-    return met.withColumn("nth", nth).join(taken.withColumn("room", room).select(*key, "path", "room"), [*key, "path"]).where("nth <= room").select(*key, "path", "line")
+    return met.withColumn("nth", nth).hint("merge").join(taken.withColumn("room", room).select(*key, "path", "room"), [*key, "path"]).where("nth <= room").select(*key, "path", "line")
 
 
 def migration_findings(diff: DataFrame, files: DataFrame | None = None) -> DataFrame:
