@@ -53,7 +53,7 @@ def head_files(base: DataFrame, diff: DataFrame) -> DataFrame:
     good = diff.where("error is null and path is not null")
     lines = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("hunk", "i", "kind", "content", "old_line", "new_line", (F.col("no_newline") if "no_newline" in diff.columns else F.lit(False)).alias("no_newline")))))
     touched = good.groupBy("change_id", "path", F.coalesce("old_path", "path").alias("old_path")).agg(F.max("status").alias("status"), lines.alias("lines"))
-    both = touched.join(base.select("change_id", F.col("path").alias("old_path"), "text", F.lit(True).alias("there")), ["change_id", "old_path"], "left")
+    both = touched.join(base.select("change_id", F.col("path").alias("old_path"), "text", F.lit(True).alias("there")).hint("merge"), ["change_id", "old_path"], "left")
 
     schema = pa.schema([(c, pa.string()) for c in ("change_id", "path", "text", "error")])
 

@@ -15,14 +15,16 @@ def aligned(files: DataFrame, diff: DataFrame) -> DataFrame:
     A side has a root if all its files lie in one folder. Old paths of added files don't vote; without a vote, and on a
     tie, paths stay as they are.
     """
+    # every side grows with the changes; a plan by the sizes of compressed files would send them to the driver
+    files, diff = files.hint("merge"), diff.hint("merge")
     first = F.split("path", "/")[0]
     rooted = files.groupBy("change_id", "side").agg(F.min(first).alias("root"), (F.count_distinct(first) == 1).alias("one"), F.min(F.size(F.split("path", "/"))).alias("depth")).where("one and depth > 1").select("change_id", "side", "root")
     old = diff.where("status <> 'added' and old_path is not null").select("change_id", "old_path").distinct()
-    held = files.join(rooted, ["change_id", "side"]).select("change_id", "side", "path", F.expr("substring(path, length(root) + 2)").alias("bare"))
+    held = files.join(rooted, ["change_id", "side"]).select("change_id", "side", "path", F.expr("substring(path, length(root) + 2)").alias("bare")).hint("merge")
     direct = held.join(old.withColumnRenamed("old_path", "path"), ["change_id", "path"]).groupBy("change_id", "side").agg(F.count("*").alias("direct"))
     stripped = held.join(old.withColumnRenamed("old_path", "bare"), ["change_id", "bare"]).groupBy("change_id", "side").agg(F.count("*").alias("stripped"))
-    votes = rooted.join(stripped, ["change_id", "side"]).join(direct, ["change_id", "side"], "left").where("stripped > coalesce(direct, 0)").select("change_id", "side", "root")
-    out = files.join(votes, ["change_id", "side"], "left")
+    votes = rooted.join(stripped.hint("merge"), ["change_id", "side"]).join(direct.hint("merge"), ["change_id", "side"], "left").where("stripped > coalesce(direct, 0)").select("change_id", "side", "root")
+    out = files.join(votes.hint("merge"), ["change_id", "side"], "left")
     return out.select("change_id", "side", F.when(F.col("root").isNotNull(), F.expr("substring(path, length(root) + 2)")).otherwise(F.col("path")).alias("path"), "text")
 
 
@@ -31,7 +33,8 @@ def whole_head(base: DataFrame, diff: DataFrame) -> DataFrame:
 
     Old paths of deleted and renamed files go; a copy leaves its source. A file whose hunks don't fit has no row.
     """
+    base, diff = base.hint("merge"), diff.hint("merge")
     touched = diff.where("path is not null").select("change_id", "path", "old_path", "status").distinct()
     gone = touched.select("change_id", "path").unionByName(touched.where("status in ('deleted', 'renamed')").select("change_id", F.col("old_path").alias("path"))).distinct()
-    untouched = base.join(gone, ["change_id", "path"], "left_anti").select("change_id", "path", "text")
+    untouched = base.join(gone.hint("merge"), ["change_id", "path"], "left_anti").select("change_id", "path", "text")
     return untouched.unionByName(head_files(base, diff).where("text is not null").select("change_id", "path", "text"))

@@ -9,7 +9,7 @@ from patchloom.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["migration_rules"])
+@pytest.mark.parametrize("name", ["migration_rules", "whole_heads"])
 def test_sides_that_grow_are_not_sent_to_the_driver(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test data")
