@@ -12,7 +12,7 @@ from ..operators.patch_apply import head_files
 from ..sources.archive import snapshot_files
 from ..sources.diff import diff_lines
 from ..sources.python_code import indexed, part
-from ..sources.tables import kept, table
+from ..sources.tables import dealt, kept, table
 from . import coverage_gaps, evaluation, grounding, report
 from .api_contract import contract_findings
 from .line_rules import dependency_changes, line_findings
@@ -52,7 +52,7 @@ def patch_apply_roundtrip(spark, sf_dir):
 def line_rules(spark, sf_dir):
     """CG-SEC, DBG and the other line rules: one pass over the added lines of patches."""
     code = F.element_at(F.array(*map(F.lit, ("x = eval(y)", "get(u, verify=False)", "print(x)", "def evaluate(z): pass"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    patches = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("change_id"), F.concat(F.lit("--- /dev/null\n+++ b/a.py\n@@ -0,0 +1 @@\n+"), code, F.lit("\n")).alias("patch_text"))
+    patches = dealt(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").cast("string").alias("change_id"), F.concat(F.lit("--- /dev/null\n+++ b/a.py\n@@ -0,0 +1 @@\n+"), code, F.lit("\n")).alias("patch_text"))
     return line_findings(diff_lines(patches)).select("change_id", "rule_id", "file", "start_line")
 
 
@@ -65,14 +65,14 @@ def part_files(spark, sf_dir):
     after = F.when(k % 3 == 0, F.lit("a")).when(k % 2 == 0, F.concat(F.lit("a, b="), size + 1)).otherwise(before)
     use = F.concat(F.lit("from m.lib import "), name, F.lit("\n"), name, F.lit("(1, b=2)\n"))
     files = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(p).alias("path"), t.alias("text")) for s, p, t in (("base", "m/lib.py", lib(before)), ("head", "m/lib.py", lib(after)), ("base", "use.py", use), ("head", "use.py", use))])
-    return table(spark, sf_dir, "part").select(k.cast("string").alias("change_id"), F.explode(files).alias("f")).select("change_id", "f.*")
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(k.cast("string").alias("change_id"), F.explode(files).alias("f")).select("change_id", "f.*")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS change_id, CASE WHEN p_partkey % 3 = 0 THEN 'CG-API-001' ELSE 'CG-API-005' END AS rule_id, 'm/lib.py' AS file, 'f' || p_partkey AS symbol, CASE WHEN p_partkey % 3 = 0 THEN 'use.py:2' ELSE '' END AS evidence FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
 def api_contract(spark, sf_dir):
     """J6, J9, J12, X11, X12, CG-API: callers that no longer fit a changed signature."""
     # every rule reads the index, so files are parsed once, by all cores; each then reads the columns that it needs
-    index = kept(indexed(part_files(spark, sf_dir).repartition("change_id")), "code-index")
+    index = kept(indexed(part_files(spark, sf_dir)), "code-index")
     return contract_findings(index).select("change_id", "rule_id", "file", "symbol", F.array_join("evidence", ",").alias("evidence"))
 
 

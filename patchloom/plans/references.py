@@ -94,14 +94,14 @@ def resolved_imports(index: DataFrame, files: DataFrame | None = None, paths: Da
         known = aliases(files)
         fits = (F.col("module") == F.regexp_replace("prefix", "/$", "")) | (F.col("star") & F.col("module").startswith(F.col("prefix")))
         rest = F.when(F.col("star"), F.expr("substring(module, length(prefix) + 1)")).otherwise("")
-        bases = local.unionByName(scripts.where(~F.col("module").startswith(".")).join(known, "change_id").where(fits).withColumn("base", normal_path(F.concat("target", rest))).drop("prefix", "star", "target"))
+        bases = local.unionByName(scripts.where(~F.col("module").startswith(".")).join(known.hint("merge"), "change_id").where(fits).withColumn("base", normal_path(F.concat("target", rest))).drop("prefix", "star", "target"))
     tails = ["", *SCRIPTS, *(f"/index{s}" for s in SCRIPTS)]
     each = F.transform(F.array(*map(F.lit, tails)), lambda t, k: F.struct(F.struct("ord.*", k.alias("tail")).alias("rank"), F.concat(F.lit("@"), "base", t).alias("key"), F.when(F.col("kind") == "namespace", "module").otherwise("symbol").alias("refers")))
     kept = ["change_id", "path", "line", "module", "imported_name", "local_name", "kind"]
     tried = bases.where(~F.col("base").startswith("..")).withColumn("option", F.explode(each)).select(*kept, "option.*")
     row = F.struct(F.col("rank").alias("f"), F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(0).alias("tail"))
     every = asked.select(*kept, "option.*").withColumn("rank", row).unionByName(tried)
-    hit = every.join(names(head.select("change_id", "path").distinct() if paths is None else paths), ["change_id", "key"])
+    hit = every.hint("merge").join(names(head.select("change_id", "path").distinct() if paths is None else paths), ["change_id", "key"])
     best = hit.groupBy(*kept).agg(F.min(F.struct("rank", "ord", "target", "refers")).alias("b"))
     return best.select(*kept, "b.target", "b.refers")
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from patchloom.queries import QUERIES
+from patchloom.sources.python_code import parsed
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +16,23 @@ def test_sides_that_grow_are_not_sent_to_the_driver(spark, name):
         pytest.skip("no test data")
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["code_symbols"])
+def test_files_of_a_small_table_are_parsed_by_all_tasks(spark, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == 4
+
+
+def test_equal_texts_side_by_side_are_parsed_once(spark):
+    seen = []
+
+    def parser(path):
+        return lambda text: {"error": None, "error_line": len(text), "symbols": [], "imports": [], "calls": [], "identifiers": [{"name": str(len(seen)), "line": seen.append(text)}]}
+
+    ways = {"py": parser("py"), "js": parser("js")}
+    rows = [("c", "base", "a.py", "x"), ("c", "head", "a.py", "x"), ("c", "head", "a.js", "x"), ("c", "head", "n.py", None), (None, "head", "b.py", "yy")]
+    files = spark.createDataFrame(rows, "change_id string, side string, path string, text string").coalesce(1)
+    got = parsed(files, lambda path: ways[path[-2:]]).collect()
+    assert [(r.change_id, r.side, r.path, r.error_line, r.identifiers[0].name) for r in got] == [("c", "base", "a.py", 1, "0"), ("c", "head", "a.py", 1, "0"), ("c", "head", "a.js", 1, "1"), ("c", "head", "n.py", 0, "2"), (None, "head", "b.py", 2, "3")]
