@@ -6,11 +6,13 @@ from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows handed on at once (fixed value).
+BATCH = 10_000
+
 
 class Spans:
     """The kept findings of one group, and which of them a span overlaps first.
@@ -104,16 +106,37 @@ def matched(fits: dict[str, list[str]]) -> dict[str, str]:
 def maximum_matching(candidates: DataFrame) -> DataFrame:
     """case_id, pred_id, label_id pairs that fit to a maximum one-to-one assignment within each case; a case is one group."""
 
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        fits: dict[str, list[str]] = {}
-        for p, label in sorted(set(zip(g.pred_id, g.label_id, strict=True))):
-            fits.setdefault(p, []).append(label)
-        return pd.DataFrame([(g.case_id.iloc[0], p, label) for label, p in sorted(matched(fits).items())], columns=["case_id", "pred_id", "label_id"])
+    names = ["case_id", "pred_id", "label_id"]
+
+    def in_cases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+        case, pairs = None, []
+        for b in batches:
+            for c, p, label in zip(*(b.column(n).to_pylist() for n in names), strict=True):
+                if pairs and c != case:
+                    yield case, pairs
+                    pairs = []
+                case = c
+                pairs.append((p, label))
+        if pairs:
+            yield case, pairs
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for case, pairs in in_cases(batches):
+            fits: dict[str, list[str]] = {}
+            for p, label in sorted(pairs):
+                fits.setdefault(p, []).append(label)
+            out += [(case, p, label) for label, p in sorted(matched(fits).items())]
+            if len(out) >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=names)
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=names)
 
     # a pair that has no other choice on either side is matched as it is; only the rest is put together by case
     pairs = candidates.select("case_id", "pred_id", "label_id").distinct()
     choices = lambda key: F.count("*").over(Window.partitionBy("case_id", key))
     counted = pairs.withColumn("of_pred", choices("pred_id")).withColumn("of_label", choices("label_id"))
     alone = (F.col("of_pred") == 1) & (F.col("of_label") == 1)
-    rest = counted.where(~alone).select(pairs.columns).groupBy("case_id").applyInPandas(assign, "case_id string, pred_id string, label_id string")
+    # a partition holds whole cases, one after another; a call a case would take far longer than the matching
+    rest = counted.where(~alone).select(pairs.columns).repartition("case_id").sortWithinPartitions("case_id").mapInArrow(assign, "case_id string, pred_id string, label_id string")
     return counted.where(alone).select(pairs.columns).unionByName(rest)
