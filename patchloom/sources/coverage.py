@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Line numbers that a report may have (fixed value).
@@ -11,11 +11,15 @@ MOST = 5_000_000
 
 def lcov(reports: DataFrame) -> DataFrame:
     """The SF record last seen names the file of each DA record. Reports of one change are read each for itself."""
-    cut = reports.select("change_id", F.xxhash64("text").alias("report"), F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    order = Window.partitionBy("change_id", "report").orderBy("n")
-    path = F.last(F.when(F.col("line").startswith("SF:"), F.expr("substring(line, 4)")).when(F.col("line") == "end_of_record", F.lit("")), ignorenulls=True).over(order)
+    # cut at the SF lines, each piece's first line is its path; what comes before the first belongs to no file
+    pieces = F.split("text", r"(^|\r?\n)SF:")
+    records = reports.select("change_id", F.explode(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))).alias("r")).select("change_id", F.split("r", "\r?\n").alias("l"))
+    rest = F.slice("l", 2, F.greatest(F.size("l"), F.lit(1)))
+    named = records.select("change_id", F.col("l")[0].alias("path"), rest.alias("l")).where("path <> ''")
+    end = F.array_position("l", "end_of_record")
+    cut = named.select("change_id", "path", F.explode(F.when(end > 0, F.slice("l", 1, F.greatest(end.cast("int"), F.lit(1)))).otherwise(F.col("l"))).alias("line"))
     hit = F.regexp_extract("line", r"^DA:(\d+),(\d+)", 1), F.regexp_extract("line", r"^DA:(\d+),(\d+)", 2)
-    return cut.withColumn("path", path).where("line like 'DA:%' and path <> ''").select("change_id", "path", hit[0].try_cast("int").alias("line"), hit[1].try_cast("long").alias("hits"))
+    return cut.where("line like 'DA:%'").select("change_id", "path", hit[0].try_cast("int").alias("line"), hit[1].try_cast("long").alias("hits"))
 
 
 def cobertura(reports: DataFrame) -> DataFrame:
