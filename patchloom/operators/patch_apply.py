@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: How far from its stated place a hunk is looked for, in lines (fixed value).
 REACH = 300
+#: Files whose lines are held at once (fixed value).
+FILES = 32
 
 
 def place(lines: list[str], block: list[str], want: int, least: int) -> int | None:
@@ -65,7 +67,8 @@ def head_files(base: DataFrame, diff: DataFrame) -> DataFrame:
         return applied("" if r["status"] == "added" else r["text"] or "", gathered(r["lines"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # few files at once: their lines as Python objects take many times their texts
+        for b in (whole.slice(k, FILES) for whole in batches for k in range(0, whole.num_rows, FILES)):
             rows = [(r["change_id"], r["path"], *head(r)) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], schema=schema)
 

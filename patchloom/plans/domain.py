@@ -40,7 +40,7 @@ def patch_apply_roundtrip(spark, sf_dir):
     both = side(0, "base").join(side(1, "head"), "pid").where("base <> head and instr(concat(base, head), char(0)) = 0")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[k : k + 200] for whole in batches for k in range(0, len(whole), 200)):
             yield pd.DataFrame({"change_id": b["pid"].astype(str), "patch_text": [patch_of(x, y) for x, y in zip(b["base"], b["head"], strict=True)]})
 
     patches = both.mapInPandas(make, "change_id string, patch_text string")

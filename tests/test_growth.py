@@ -2,9 +2,14 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
+from patchloom.operators.matching import maximum_matching
+from patchloom.plans.report import to_sarif
 from patchloom.queries import QUERIES
+from patchloom.sources.coverage import coverage_lines
+from patchloom.sources.diff import pieces
 from patchloom.sources.python_code import parsed
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +41,37 @@ def test_equal_texts_side_by_side_are_parsed_once(spark):
     files = spark.createDataFrame(rows, "change_id string, side string, path string, text string").coalesce(1)
     got = parsed(files, lambda path: ways[path[-2:]]).collect()
     assert [(r.change_id, r.side, r.path, r.error_line, r.identifiers[0].name) for r in got] == [("c", "base", "a.py", 1, "0"), ("c", "head", "a.py", 1, "0"), ("c", "head", "a.js", 1, "1"), ("c", "head", "n.py", 0, "2"), (None, "head", "b.py", 2, "3")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lcov_is_cut_within_its_row(spark):
+    text = "DA:9,9\nSF:a.py\r\nDA:1,0\r\nDA:2,5 \nxDA:3,1\nend_of_record\nDA:4,1\nSF:b.py\nDA:1,2\nSF:\nDA:5,5\nSF:c.py\nend_of_record x\nDA:7,0\nDA:7,3"
+    got = coverage_lines(spark.createDataFrame([("c", text + "\nend_of_record"), ("d", None)], "change_id string, text string"))
+    assert sorted((r.path, r.line, r.hits) for r in got.collect()) == [("a.py", 1, 0), ("a.py", 2, 5), ("b.py", 1, 2), ("c.py", 7, 3)]
+    assert "Window" not in plan_of(got)
+
+
+def test_patches_go_on_in_pieces():
+    patch = "--- a/a\n+++ b/a\n@@ -0,0 +1,5000 @@\n" + "+x\n" * 5000
+    out = list(pieces(iter([pa.RecordBatch.from_pydict({"change_id": [str(k) for k in range(12)], "patch_text": [patch] * 12})])))
+    assert sum(b.num_rows for b in out) == 60_000 and max(b.num_rows for b in out) <= 25_000
+
+
+def test_sarif_is_put_together_by_one_shuffle_more(spark):
+    rows = [("c", "1", "R2", "low", "b"), ("c", "2", "R1", "high", "a"), ("c", "3", "R2", "high", "c"), ("c", "3", "R2", "high", "c")]
+    found = spark.createDataFrame(rows, "change_id string, id string, rule_id string, severity string, title string").selectExpr("*", "'ai' kind", "'low' confidence", "'f' file", "1 start_line")
+    out = to_sarif(found)
+    assert plan_of(out).count("Exchange") <= 2 and "Window" not in plan_of(out)
+    sarif = out.first().sarif
+    assert sarif.index('"id":"R1"') < sarif.index('"id":"R2"') and [p.split(",")[0] for p in sarif.split('"ruleIndex":')[1:]] == ["0", "1", "1"] and '"text":"c"}}' in sarif
+
+
+def test_cases_are_matched_without_a_call_each(spark):
+    rows = [(None if k == 7 else str(k), p, label) for k in range(40) for p, label in (("p1", "l1"), ("p1", "l2"), ("p2", "l1"), ("p3", "l3"))]
+    out = maximum_matching(spark.createDataFrame(rows, "case_id string, pred_id string, label_id string"))
+    assert "MapInArrow" in plan_of(out) and "FlatMapGroups" not in plan_of(out)
+    got = {(r.case_id, r.pred_id, r.label_id) for r in out.collect()}
+    assert got == {(None if k == 7 else str(k), p, label) for k in range(40) for p, label in (("p1", "l2"), ("p2", "l1"), ("p3", "l3"))}
