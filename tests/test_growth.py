@@ -75,3 +75,18 @@ def test_cases_are_matched_without_a_call_each(spark):
     assert "MapInArrow" in plan_of(out) and "FlatMapGroups" not in plan_of(out)
     got = {(r.case_id, r.pred_id, r.label_id) for r in out.collect()}
     assert got == {(None if k == 7 else str(k), p, label) for k in range(40) for p, label in (("p1", "l2"), ("p2", "l1"), ("p3", "l3"))}
+
+
+def test_plain_bodies_need_no_tokenizer_and_similarity_no_table(monkeypatch):
+    import difflib
+    import tokenize
+
+    from patchloom.plans.renames import similarity
+    from patchloom.sources.python_code import normal
+
+    odd = ["x = f'{a}'", "x = 1.5 + .5", "# c\ny = '''a\nb'''", "é = 1", "a = 1_0if b else 0x1F", "b'q' 'r'", "x = 'a\\'b'", "y = 'p' 'q'''\n"]
+    assert [normal(t) for t in odd] == ["x = f' { a } '", "x = 1.5 + .5", "y = '''a\nb'''", "é = 1", "a = 1_0 if b else 0x1F", "b'q' 'r'", "x = 'a\\'b'", "y = 'p' 'q' ''"]
+    monkeypatch.setattr(tokenize, "generate_tokens", None)
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    assert normal('def f(a, *b):\n    x = a[1:2] if a != 10 else "q  r"\n') == 'def f ( a , * b ) : x = a [ 1 : 2 ] if a != 10 else "q  r"'
+    assert similarity("abcd", "bcde", 0.5) == 0.75 and similarity("ab", "zz") == 0.0
