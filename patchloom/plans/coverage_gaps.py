@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import finding_id, shared_suffix
 from ..operators.relational import innermost
+from ..sources.tables import dealt
 
 
-def matched_paths(files: DataFrame, reported: DataFrame) -> DataFrame:
+def matched_paths(files: DataFrame, reported: DataFrame, n_tasks: int | None = None) -> DataFrame:
     """change_id, path, cov_path: the one report path that shares most parts of a file's path from the right.
 
     One shared part is enough where the base name is unique on both sides, else two (or all the path has); a tie
@@ -17,20 +18,33 @@ def matched_paths(files: DataFrame, reported: DataFrame) -> DataFrame:
     """
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     n = lambda c: F.size(F.split(c, "/"))
-    left = files.select("change_id", "path").distinct().withColumn("b", base("path")).withColumn("left_n", F.count("*").over(Window.partitionBy("change_id", "b")))
-    right = reported.select("change_id", "cov_path").distinct().withColumn("b", base("cov_path")).withColumn("right_n", F.count("*").over(Window.partitionBy("change_id", "b")))
+    spread = lambda rows, *keys: rows if n_tasks is None else dealt(rows, *keys, n=n_tasks)
+    left = spread(files.select("change_id", "path").withColumn("b", base("path")), "change_id", "b").distinct().withColumn("left_n", F.count("*").over(Window.partitionBy("change_id", "b")))
+    right = spread(reported.select("change_id", "cov_path").withColumn("b", base("cov_path")), "change_id", "b").distinct().withColumn("right_n", F.count("*").over(Window.partitionBy("change_id", "b")))
     scored = left.join(right, ["change_id", "b"]).withColumn("score", shared_suffix(F.col("path"), F.col("cov_path")))
     least = F.when((F.col("left_n") == 1) & (F.col("right_n") == 1), 1).otherwise(F.least(F.lit(2), n("path"), n("cov_path")))
-    best = F.max("score").over(Window.partitionBy("change_id", "path"))
+    # a path has one base name, so that its rows already lie together
+    best = F.max("score").over(Window.partitionBy("change_id", "b", "path"))
     top = scored.where(F.col("score") >= least).withColumn("best", best).where("score = best")
-    return top.groupBy("change_id", "path").agg(F.first("cov_path").alias("cov_path"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return top.groupBy("change_id", "b", "path").agg(F.first("cov_path").alias("cov_path"), F.count("*").alias("n")).where("n = 1").drop("n", "b")
 
 
-def changed_coverage(diff: DataFrame, coverage: DataFrame) -> DataFrame:
-    """change_id, path, line, hits of added lines that a report knows (the most, where it repeats a line); coverage has change_id, path, line, hits."""
-    added = diff.where("kind = 'add'").select("change_id", "path", F.col("new_line").alias("line")).distinct()
-    report = coverage.groupBy("change_id", F.col("path").alias("cov_path"), "line").agg(F.max("hits").alias("hits"))
-    return added.join(matched_paths(added, report), ["change_id", "path"]).join(report, ["change_id", "cov_path", "line"]).select("change_id", "path", "line", "hits")
+def changed_coverage(diff: DataFrame, coverage: DataFrame, n_tasks: int | None = None) -> DataFrame:
+    """change_id, path, line, hits of added lines that a report knows (the most, where it repeats a line); coverage has change_id, path, line, hits.
+
+    n_tasks is the number of tasks that lines are dealt over; without one Spark's own counts hold, whose tasks grow with the lines.
+    """
+    added = diff.where("kind = 'add'").select("change_id", "path", F.col("new_line").alias("line"))
+    report = coverage.select("change_id", F.col("path").alias("cov_path"), "line", "hits")
+    matched = matched_paths(added, report, n_tasks)
+    if n_tasks is not None:
+        added, report = dealt(added, "change_id", "path", n=n_tasks), dealt(report, "change_id", "cov_path", "line", n=n_tasks)
+        matched = dealt(matched, "change_id", "path", n=n_tasks).hint("merge")
+    report = report.groupBy("change_id", "cov_path", "line").agg(F.max("hits").alias("hits"))
+    found = added.distinct().join(matched, ["change_id", "path"])
+    if n_tasks is not None:
+        found = dealt(found, "change_id", "cov_path", "line", n=n_tasks).hint("merge")
+    return found.join(report, ["change_id", "cov_path", "line"]).select("change_id", "path", "line", "hits")
 
 
 #: Share of a report's lines that may lie where no code is before it counts as stale (fixed value).
@@ -55,9 +69,10 @@ def unmatched(files: DataFrame, coverage: DataFrame) -> DataFrame:
     return report.join(matched_paths(files, report).select("change_id", "cov_path"), ["change_id", "cov_path"], "left_anti")
 
 
-def patch_coverage(diff: DataFrame, coverage: DataFrame) -> DataFrame:
+def patch_coverage(diff: DataFrame, coverage: DataFrame, n_tasks: int | None = None) -> DataFrame:
     """change_id, covered, executable, percent (one digit; no row where nothing is executable)."""
-    out = changed_coverage(diff, coverage).groupBy("change_id").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count("*").alias("executable"))
+    known = changed_coverage(diff, coverage, n_tasks)
+    out = (known if n_tasks is None else dealt(known, "change_id", n=n_tasks)).groupBy("change_id").agg(F.count_if(F.col("hits") > 0).alias("covered"), F.count("*").alias("executable"))
     return out.withColumn("percent", F.round(F.col("covered") * 100.0 / F.col("executable"), 1))
 
 

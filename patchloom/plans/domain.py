@@ -12,7 +12,7 @@ from ..operators.patch_apply import head_files
 from ..sources.archive import snapshot_files
 from ..sources.diff import diff_lines
 from ..sources.python_code import indexed, part
-from ..sources.tables import dealt, kept, table
+from ..sources.tables import dealt, kept, table, tasks
 from . import coverage_gaps, evaluation, grounding, report
 from .api_contract import contract_findings
 from .line_rules import dependency_changes, line_findings
@@ -102,7 +102,7 @@ def patch_coverage(spark, sf_dir):
     change, name = F.col("l_orderkey").cast("string").alias("change_id"), F.concat(F.lit("f"), F.col("l_suppkey") % 3, F.lit(".py"))
     diff = rows.select(change, F.concat(F.lit("src/app/"), name).alias("path"), F.lit("add").alias("kind"), F.col("l_linenumber").alias("new_line"))
     seen = rows.where("l_quantity > 10").select(change, F.concat(F.lit("app/"), name).alias("path"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 3).alias("hits"))
-    return coverage_gaps.patch_coverage(diff, seen)
+    return coverage_gaps.patch_coverage(diff, seen, tasks(rows))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS claim_id, CASE WHEN l_linenumber IS NULL THEN 'unknown_evidence' WHEN o_custkey % 8 NOT BETWEEN l_linenumber - 3 AND l_linenumber + 3 THEN 'line_out_of_range' END AS reason

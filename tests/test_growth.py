@@ -90,3 +90,27 @@ def test_plain_bodies_need_no_tokenizer_and_similarity_no_table(monkeypatch):
     monkeypatch.setattr(difflib, "SequenceMatcher", None)
     assert normal('def f(a, *b):\n    x = a[1:2] if a != 10 else "q  r"\n') == 'def f ( a , * b ) : x = a [ 1 : 2 ] if a != 10 else "q  r"'
     assert similarity("abcd", "bcde", 0.5) == 0.75 and similarity("ab", "zz") == 0.0
+
+
+def dealt_by(df):
+    """The numbers of tasks that a plan's shuffles deal rows over."""
+    import re
+
+    return {int(n) for n in re.findall(r"Exchange hashpartitioning\([^\n]*, (\d+)\), ", plan_of(df))}
+
+
+def test_tasks_grow_with_rows(spark):
+    from patchloom.sources.tables import tasks
+
+    assert tasks(spark.range(100), each=10) == 10 and tasks(spark.range(100), spark.range(101), each=100) == 4
+
+
+def test_lines_of_coverage_lie_over_as_many_tasks_as_asked(spark):
+    from patchloom.plans.coverage_gaps import patch_coverage
+
+    diff = spark.createDataFrame([("c", f"src/f{k % 3}.py", "add", k) for k in range(30)], "change_id string, path string, kind string, new_line int")
+    seen = spark.createDataFrame([("c", f"f{k % 2}.py", k, k % 5) for k in range(30)] + [("c", "f0.py", 0, 4)], "change_id string, path string, line int, hits int")
+    got = patch_coverage(diff, seen, 7)
+    assert dealt_by(got) == {7}
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in patch_coverage(diff, seen).collect()]
+    assert got.first().executable == 10
