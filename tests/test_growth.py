@@ -114,3 +114,13 @@ def test_lines_of_coverage_lie_over_as_many_tasks_as_asked(spark):
     assert dealt_by(got) == {7}
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in patch_coverage(diff, seen).collect()]
     assert got.first().executable == 10
+
+
+def test_claims_lie_over_as_many_tasks_as_asked(spark):
+    from patchloom.plans.grounding import verified
+
+    claims = spark.createDataFrame([("c", str(k), None, f"x{k // 2}", ["e"] if k else ["no"], 0, 1) for k in range(4)], "change_id string, claim_id string, target string, text string, evidence_ids array<string>, sample int, samples int")
+    evidence = spark.createDataFrame([("c", "e", "a.py", 1, 1, "x")], "change_id string, id string, file string, start_line int, end_line int, excerpt string")
+    got = verified(claims, evidence, evidence.selectExpr("change_id", "file path"), evidence.selectExpr("change_id", "id"), 7)
+    assert dealt_by(got) == {7}
+    assert sorted((r.claim_id, r.reason) for r in got.collect()) == [("0", "unknown_evidence"), ("1", "duplicate"), ("2", None), ("3", "duplicate")]
