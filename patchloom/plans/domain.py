@@ -14,7 +14,7 @@ from ..sources.diff import diff_lines
 from ..sources.python_code import indexed, part
 from ..sources.tables import dealt, kept, table, tasks
 from . import coverage_gaps, evaluation, grounding, report
-from .api_contract import contract_findings
+from .api_contract import CONTRACT, contract_findings
 from .line_rules import dependency_changes, line_findings
 from .registry import query
 
@@ -72,7 +72,7 @@ def part_files(spark, sf_dir):
 def api_contract(spark, sf_dir):
     """J6, J9, J12, X11, X12, CG-API: callers that no longer fit a changed signature."""
     # every rule reads the index, so files are parsed once, by all cores; each then reads the columns that it needs
-    index = kept(indexed(part_files(spark, sf_dir)), "code-index")
+    index = kept(indexed(part_files(spark, sf_dir), *CONTRACT), "code-index")
     return contract_findings(index).select("change_id", "rule_id", "file", "symbol", F.array_join("evidence", ",").alias("evidence"))
 
 

@@ -25,11 +25,12 @@ def normal_path(path: Column) -> Column:
         .when((p == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
         .otherwise(F.concat(done, F.array(p)))
     )
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    # most paths have nothing to leave out, and a fold over arrays isn't compiled
+    return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")).otherwise(path)
 
 
 def folder(path: Column) -> Column:
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def under(base: Column, name: Column) -> Column:
@@ -45,7 +46,8 @@ def without_comments(text: Column) -> Column:
 def aliases(files: DataFrame) -> DataFrame:
     """change_id, ord, prefix, star, target: path aliases of the head's tsconfig.json, then jsconfig.json, at the root."""
     config = F.from_json(without_comments(F.col("text")), "compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>")
-    found = files.where("side = 'head' and path in ('tsconfig.json', 'jsconfig.json')").select("change_id", (F.col("path") == "jsconfig.json").cast("int").alias("f"), config["compilerOptions"].alias("o"))
+    # as a generator's row each text is read once; as a column it would be read again for every field and filter
+    found = files.where("side = 'head' and path in ('tsconfig.json', 'jsconfig.json')").select("change_id", (F.col("path") == "jsconfig.json").cast("int").alias("f"), F.explode(F.array(config["compilerOptions"])).alias("o"))
     each = found.select("change_id", "f", F.coalesce("o.baseUrl", F.lit(".")).alias("base"), F.posexplode("o.paths").alias("k", "alias", "targets"))
     each = each.select("change_id", "f", "k", "base", "alias", F.posexplode("targets").alias("t", "target"))
     plain = lambda c: F.regexp_replace(c, r"\*$", "")
@@ -53,18 +55,28 @@ def aliases(files: DataFrame) -> DataFrame:
 
 
 def names(paths: DataFrame) -> DataFrame:
-    """change_id, key, target, ord: what a module's path may stand for. = is a Python file by its whole path, ~ by a path
-    suffix that one file has (or one outside of tests), @ a script by its path."""
+    """change_id, key, target, ord, tail: what a module's path may stand for. = is a Python file by its whole path, ~ by a path
+    suffix that one file has (or one outside of tests), @ a script by its path, or without one of SCRIPTS, or /index and
+    one of them: tail is 0, or the place of what is left out in that order."""
     python = paths.where(language(F.col("path")) == "python").withColumn("stem", F.regexp_replace("path", r"(?i)(/__init__)?\.pyi?$", ""))
     order = F.when(F.col("path").endswith("/__init__.py"), 1).when(F.col("path").endswith(".pyi"), 2).otherwise(0)
-    whole = python.select("change_id", F.concat(F.lit("="), "stem").alias("key"), F.col("path").alias("target"), order.alias("ord"))
-    split = F.split("stem", "/")
-    ends = python.select("change_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(split)), lambda k: F.array_join(F.slice(split, k, F.size(split)), "/"))).alias("suffix"))
-    outside = F.when(~F.split("path", "/")[0].contains("test"), F.col("path"))
-    one = ends.groupBy("change_id", "suffix").agg(F.count_distinct("path").alias("n"), F.min("path").alias("only"), F.count_distinct(outside).alias("m"), F.min(outside).alias("plain"))
-    suffix = one.where("n = 1 or m = 1").select("change_id", F.concat(F.lit("~"), "suffix").alias("key"), F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("plain")).alias("target"), F.lit(0).alias("ord"))
-    scripts = paths.where(language(F.col("path")).isin("javascript", "typescript")).select("change_id", F.concat(F.lit("@"), "path").alias("key"), F.col("path").alias("target"), F.lit(0).alias("ord"))
-    return whole.unionByName(suffix).unionByName(scripts)
+    row = lambda mark, name, target, order, tail=F.lit(0): ("change_id", F.concat(F.lit(mark), name).alias("key"), target.alias("target"), order.alias("ord"), tail.alias("tail"))
+    whole = python.select(*row("=", F.col("stem"), F.col("path"), order))
+    levels = F.length("stem") - F.length(F.replace(F.col("stem"), F.lit("/"), F.lit(""))) + 1
+    ends = python.select("change_id", "path", "stem", F.explode(F.sequence(F.lit(1), levels)).alias("k")).select("change_id", "path", F.expr("substring_index(stem, '/', -k)").alias("suffix"))
+    outside = F.when(~F.substring_index("path", "/", 1).contains("test"), F.col("path"))
+    # one path is both the least and the greatest: counting distinct ones would multiply the rows and shuffle them twice;
+    # few rows meet before the shuffle, so they are sorted only behind it
+    least = ends.repartition("change_id", "suffix").groupBy("change_id", "suffix").agg(F.min("path").alias("only"), F.max("path").alias("last"), F.min(outside).alias("plain"), F.max(outside).alias("plain_last"))
+    target = F.when(F.col("only") == F.col("last"), F.col("only")).when(F.col("plain") == F.col("plain_last"), F.col("plain"))
+    suffix = least.withColumn("target", target).where("target is not null").select(*row("~", F.col("suffix"), F.col("target"), F.lit(0)))
+    ending = lambda of: F.coalesce(*[F.when(F.col("path").endswith(t), F.lit(of(t, k))) for k, t in enumerate(SCRIPTS, 1)])
+    cut = lambda n: F.left("path", F.length("path") - n)
+    scripts = paths.where(language(F.col("path")).isin("javascript", "typescript")).select("change_id", "path", ending(lambda t, k: k).alias("k"), ending(lambda t, k: len(t)).alias("n"))
+    entry = lambda base, tail: F.struct(base.alias("base"), tail.alias("tail"))
+    ended = F.array(entry(F.col("path"), F.lit(0)), F.when(F.col("n").isNotNull(), entry(cut(F.col("n")), F.col("k"))), F.when(cut(F.col("n")).endswith("/index"), entry(cut(F.col("n") + len("/index")), F.col("k") + len(SCRIPTS))))
+    scripts = scripts.select("change_id", "path", F.explode(ended).alias("e")).where("e is not null")
+    return whole.unionByName(suffix).unionByName(scripts.select(*row("@", F.col("e.base"), F.col("path"), F.lit(0), F.col("e.tail"))))
 
 
 def resolved_imports(index: DataFrame, files: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
@@ -78,14 +90,16 @@ def resolved_imports(index: DataFrame, files: DataFrame | None = None, paths: Da
     head = index.where("side = 'head'").hint("merge")
     imports = part(head, "imports").select("change_id", "path", "line", "module", "imported_name", "local_name", "kind", "level")
     dotted = F.regexp_replace("module", r"\.", "/")
-    up = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("level"), F.lit(1))), F.col("path"), lambda p, _: folder(p))
+    up = F.when(F.col("level") <= 1, folder(F.col("path"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("level"), F.lit(1))), F.col("path"), lambda p, _: folder(p)))
     relative = F.when(F.col("module") == "", up).otherwise(under(up, dotted))
     where = F.when(F.col("level") > 0, F.concat(F.lit("="), relative)).otherwise(F.concat(F.lit("~"), dotted))
-    option = lambda rank, key, refers: F.struct(F.lit(rank).alias("rank"), key.alias("key"), F.lit(refers).alias("refers"))
-    inner = F.concat(F.substring(where, 1, 1), under(F.substring(where, 2, 1 << 20), F.col("imported_name")))
-    python = F.when(F.col("kind") == "module", F.array(option(0, where, "module"))).when(F.col("kind") == "name", F.array(option(0, inner, "module"), option(10, where, "symbol"))).otherwise(F.array(option(10, where, "symbol")))
     is_python = language(F.col("path")) == "python"
-    asked = imports.where(is_python).withColumn("option", F.explode(python))
+    placed = imports.where(is_python).withColumn("place", F.explode(F.array(where)))
+    option = lambda rank, key, refers: F.struct(F.lit(rank).alias("rank"), key.alias("key"), F.lit(refers).alias("refers"))
+    inner = F.concat(F.substring("place", 1, 1), under(F.substring("place", 2, 1 << 20), F.col("imported_name")))
+    first = F.when(F.col("kind") == "module", option(0, F.col("place"), "module")).when(F.col("kind") == "name", option(0, inner, "module"))
+    second = F.when(~F.col("kind").eqNullSafe("module"), option(10, F.col("place"), "symbol"))
+    asked = placed.withColumn("option", F.explode(F.array(first, second))).where("option is not null")
 
     scripts = imports.where(~is_python)
     local = scripts.where(F.col("module").startswith(".")).withColumn("base", normal_path(under(folder(F.col("path")), F.col("module")))).withColumn("ord", F.struct(F.lit(0).alias("f"), F.lit(0).alias("k"), F.lit(0).alias("t")))
@@ -95,13 +109,12 @@ def resolved_imports(index: DataFrame, files: DataFrame | None = None, paths: Da
         fits = (F.col("module") == F.regexp_replace("prefix", "/$", "")) | (F.col("star") & F.col("module").startswith(F.col("prefix")))
         rest = F.when(F.col("star"), F.expr("substring(module, length(prefix) + 1)")).otherwise("")
         bases = local.unionByName(scripts.where(~F.col("module").startswith(".")).join(known.hint("merge"), "change_id").where(fits).withColumn("base", normal_path(F.concat("target", rest))).drop("prefix", "star", "target"))
-    tails = ["", *SCRIPTS, *(f"/index{s}" for s in SCRIPTS)]
-    each = F.transform(F.array(*map(F.lit, tails)), lambda t, k: F.struct(F.struct("ord.*", k.alias("tail")).alias("rank"), F.concat(F.lit("@"), "base", t).alias("key"), F.when(F.col("kind") == "namespace", "module").otherwise("symbol").alias("refers")))
     kept = ["change_id", "path", "line", "module", "imported_name", "local_name", "kind"]
-    tried = bases.where(~F.col("base").startswith("..")).withColumn("option", F.explode(each)).select(*kept, "option.*")
-    row = F.struct(F.col("rank").alias("f"), F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(0).alias("tail"))
+    # a script's import is one key, and each file has the few that may mean it
+    tried = bases.where(~F.col("base").startswith("..")).select(*kept, F.col("ord").alias("rank"), F.concat(F.lit("@"), "base").alias("key"), F.when(F.col("kind") == "namespace", "module").otherwise("symbol").alias("refers"))
+    row = F.struct(F.col("rank").alias("f"), F.lit(0).alias("k"), F.lit(0).alias("t"))
     every = asked.select(*kept, "option.*").withColumn("rank", row).unionByName(tried)
-    hit = every.hint("merge").join(names(head.select("change_id", "path").distinct() if paths is None else paths), ["change_id", "key"])
+    hit = every.hint("merge").join(names(head.select("change_id", "path") if paths is None else paths), ["change_id", "key"]).withColumn("rank", F.struct("rank.*", "tail"))
     best = hit.groupBy(*kept).agg(F.min(F.struct("rank", "ord", "target", "refers")).alias("b"))
     return best.select(*kept, "b.target", "b.refers")
 

@@ -124,3 +124,34 @@ def test_claims_lie_over_as_many_tasks_as_asked(spark):
     got = verified(claims, evidence, evidence.selectExpr("change_id", "file path"), evidence.selectExpr("change_id", "id"), 7)
     assert dealt_by(got) == {7}
     assert sorted((r.claim_id, r.reason) for r in got.collect()) == [("0", "unknown_evidence"), ("1", "duplicate"), ("2", None), ("3", "duplicate")]
+
+
+FILES = "change_id string, side string, path string, text string"
+
+
+def test_only_the_wanted_parts_of_an_index_are_handed_on(spark):
+    from patchloom.sources.code import indexed
+
+    got = indexed(spark.createDataFrame([("c", "head", "a.py", "import b\nc(d)\n")], FILES), "imports")
+    assert got.columns == ["change_id", "side", "path", "imports"] and got.first().imports[0].module == "b"
+
+
+def test_names_and_whole_numbers_need_no_unparser(monkeypatch):
+    import ast
+
+    from patchloom.sources.python_code import index
+
+    monkeypatch.setattr(ast, "unparse", None)
+    found = index("@d\ndef f(a: int, b=1) -> str:\n    return a\n")["symbols"][0]
+    assert (found["decorators"], found["returns"], [(p["default"], p["annotation"]) for p in found["params"]]) == (["d"], "str", [(None, "int"), ("1", None)])
+
+
+def test_scripts_are_found_by_the_few_paths_that_mean_them(spark):
+    from patchloom.plans.references import names
+
+    paths = ["web/d/index.tsx", "web/d.js", "a.ts.js", "index.ts", "B.TS", "pkg/m.py", "tests/m.py", "x/y/__init__.py", "z/y.py"]
+    got = names(spark.createDataFrame([("c", p) for p in [*paths, "pkg/m.py"]], "change_id string, path string"))
+    assert "Expand" not in plan_of(got)
+    rows = {(r.key, r.target, r.tail) for r in got.collect()}
+    assert {r for r in rows if r[0][0] == "@"} == {("@web/d/index.tsx", "web/d/index.tsx", 0), ("@web/d/index", "web/d/index.tsx", 2), ("@web/d", "web/d/index.tsx", 10), ("@web/d.js", "web/d.js", 0), ("@web/d", "web/d.js", 3), ("@a.ts.js", "a.ts.js", 0), ("@a.ts", "a.ts.js", 3), ("@index.ts", "index.ts", 0), ("@index", "index.ts", 1), ("@B.TS", "B.TS", 0)}
+    assert {(k, t) for k, t, _ in rows if k[0] == "~"} == {("~m", "pkg/m.py"), ("~pkg/m", "pkg/m.py"), ("~tests/m", "tests/m.py"), ("~x/y", "x/y/__init__.py"), ("~z/y", "z/y.py")}
