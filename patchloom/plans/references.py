@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,34 +134,51 @@ def references(index: DataFrame, imports: DataFrame) -> DataFrame:
     calls = part(head, "calls")
     symbols = index.select("change_id", "path", F.explode("symbols").alias("s")).select("change_id", "path", "s.qualname", "s.name", "s.parent", "s.kind", "s.decorators").distinct()
     keep = ["change_id", "target", "symbol", "path", "kind", "resolution", "drop_first", *CALL]
-    out = lambda rows, target, symbol, resolution="resolved", drop=F.lit(False): rows.select("change_id", target.alias("target"), symbol.alias("symbol"), "path", F.lit("call").alias("kind"), F.lit(resolution).alias("resolution"), drop.alias("drop_first"), *CALL)
     at = imports.select("change_id", "path", "local_name", "imported_name", F.col("target").alias("to"), "refers", "module", F.col("kind").alias("how"), F.col("line").alias("import_line"))
     of_symbols = at.where("refers = 'symbol' and imported_name is not null and imported_name <> '*'")
-    by_name = calls.where("receiver is null").join(of_symbols.withColumnRenamed("local_name", "name"), ["change_id", "path", "name"])
-    spelled = F.when((F.col("how") == "module") & F.col("module").startswith(F.concat(F.col("local_name"), F.lit("."))), F.col("module")).otherwise(F.col("local_name"))
-    by_module = calls.join(at.where("refers = 'module'").withColumn("receiver", spelled), ["change_id", "path", "receiver"])
-    own = calls.where("receiver is null").join(part(head, "imports").select("change_id", "path", F.col("local_name").alias("name")).distinct(), ["change_id", "path", "name"], "left_anti")
-    plain = out(by_name, F.col("to"), F.col("imported_name")).unionByName(out(by_module, F.col("to"), F.col("name"))).unionByName(out(own, F.col("path"), F.col("name")))
-
     marked = lambda name: F.exists("decorators", lambda d: F.regexp_replace(d, r"\(.*", "").endswith(name))
     python = language(F.col("defined_in")) == "python"
     methods = symbols.where("parent is not null and kind in ('method', 'function', 'test')").select("change_id", F.col("path").alias("defined_in"), "qualname", "name", "parent", marked("staticmethod").alias("static"), marked("classmethod").alias("of_class"))
-    # a receiver is compared as a key, so that each way is an equi-join
     binds, bound = python & ~F.col("static"), python & F.col("of_class")
     itself = ("self", "cls", "this")
-    within = calls.where(F.col("receiver").isin(*itself)).join(methods.withColumn("path", F.col("defined_in")), ["change_id", "path", "name"]).where(F.col("enclosing").startswith(F.concat(F.col("parent"), F.lit("."))))
     class_name = F.regexp_extract("parent", r"[^.]+$", 0)
-    here = methods.select("change_id", F.col("defined_in").alias("path"), class_name.alias("receiver"), "defined_in", "qualname", "name", "static", "of_class")
-    there = methods.withColumn("imported_name", class_name).join(of_symbols.select("change_id", F.col("to").alias("defined_in"), "imported_name", F.col("path"), F.col("local_name").alias("receiver")), ["change_id", "defined_in", "imported_name"])
-    by_class = calls.where("receiver is not null").join(here.unionByName(there.where("path <> defined_in").select(here.columns)), ["change_id", "path", "receiver", "name"])
+    key = lambda mark, *parts: F.concat(F.lit(mark), F.concat_ws("\0", *parts))
+
+    def means(rows: DataFrame, at: Column, key: Column, target: Column | None, symbol: Column | None, drop: Column | bool = False, parent: Column | None = None, resolution: str = "resolved") -> DataFrame:
+        given = {"target": target, "symbol": symbol, "parent": parent}
+        return rows.select("change_id", at.alias("at"), key.alias("key"), F.lit(resolution).alias("resolution"), (F.lit(drop) if isinstance(drop, bool) else drop).alias("drop_first"), *[(F.lit(None).cast("string") if c is None else c).alias(n) for n, c in given.items()])
+
+    # every way that a call finds what it means is a key in its file (or of the change), so that calls meet all of them in one
+    # join: n a plain name, m a module, c a class and its method, s a method of self, g a telling name alone
+    spelled = F.when((F.col("how") == "module") & F.col("module").startswith(F.concat(F.col("local_name"), F.lit("."))), F.col("module")).otherwise(F.col("local_name"))
+    there = methods.withColumn("imported_name", class_name).join(of_symbols.select("change_id", F.col("to").alias("defined_in"), "imported_name", F.col("path"), F.col("local_name").alias("receiver")), ["change_id", "defined_in", "imported_name"]).where("path <> defined_in")
     single = symbols.where("kind in ('method', 'function')").groupBy("change_id", "name").agg(F.count_distinct("path", "qualname").alias("n")).where("n = 1").drop("n")
     telling = single.where((F.length("name") >= 4) & ~F.col("name").isin(*COMMON_NAMES) & ~F.col("name").startswith("__"))
-    guessed = calls.where(F.col("receiver").isNotNull() & ~F.col("receiver").isin(*itself)).join(methods.join(telling, ["change_id", "name"]), ["change_id", "name"])
-    by_method = out(within, F.col("defined_in"), F.col("qualname"), drop=binds).unionByName(out(by_class, F.col("defined_in"), F.col("qualname"), drop=bound)).unionByName(out(guessed, F.col("defined_in"), F.col("qualname"), "name_only", binds))
+    defined, qualname, name = F.col("defined_in"), F.col("qualname"), F.col("name")
+    meant = [
+        means(of_symbols, F.col("path"), key("n", F.col("local_name")), F.col("to"), F.col("imported_name")),
+        # an imported name isn't the file's own, whatever file it comes from
+        means(head.select("change_id", "path", F.explode(F.array_distinct("imports.local_name")).alias("local_name")), F.col("path"), key("n", F.col("local_name")), None, None),
+        means(at.where("refers = 'module'"), F.col("path"), key("m", spelled), F.col("to"), None),
+        means(methods, defined, key("s", name), defined, qualname, binds, F.col("parent")),
+        means(methods, defined, key("c", class_name, name), defined, qualname, bound),
+        means(there, F.col("path"), key("c", F.col("receiver"), name), defined, qualname, bound),
+        means(methods.join(telling, ["change_id", "name"]), F.lit(""), key("g", name), defined, qualname, binds, None, "name_only"),
+    ]
+    receiver, alone = F.col("receiver"), F.col("receiver").isNull()
+    own = F.col("receiver").isin(*itself)
+    asks = lambda at, key: F.struct(at.alias("at"), key.alias("key"))
+    by = F.array(F.when(alone, asks(F.col("path"), key("n", name))).otherwise(asks(F.col("path"), key("m", receiver))), F.when(~alone, asks(F.col("path"), key("c", receiver, name))), F.when(own, asks(F.col("path"), key("s", name))).when(~alone, asks(F.lit(""), key("g", name))))
+    asked = calls.select("change_id", "path", *CALL, F.explode(by).alias("ask")).where("ask is not null").select("change_id", "path", *CALL, "ask.at", "ask.key")
+    hit = asked.join(reduce(DataFrame.unionByName, meant).hint("merge"), ["change_id", "at", "key"], "left")
+    # a plain name that nothing brings into the file is its own
+    mine = F.col("resolution").isNull() & alone
+    found = hit.where((F.col("target").isNotNull() & (F.col("parent").isNull() | F.col("enclosing").startswith(F.concat("parent", F.lit("."))))) | mine)
+    called = found.select("change_id", F.coalesce("target", "path").alias("target"), F.coalesce("symbol", "name").alias("symbol"), "path", F.lit("call").alias("kind"), F.coalesce("resolution", F.lit("resolved")).alias("resolution"), F.coalesce("drop_first", F.lit(False)).alias("drop_first"), *CALL)
 
     empty = {"positional": F.lit(None).cast("int"), "keywords": F.lit(None).cast("array<string>"), "star_args": F.lit(None).cast("boolean"), "star_kwargs": F.lit(None).cast("boolean"), "awaited": F.lit(None).cast("boolean"), "enclosing": F.lit(None).cast("string"), "receiver": F.lit(None).cast("string"), "first": F.lit(None).cast("string")}
     uses = of_symbols.select("change_id", F.col("to").alias("target"), F.col("imported_name").alias("symbol"), "path", F.lit("import").alias("kind"), F.lit("resolved").alias("resolution"), F.lit(False).alias("drop_first"), F.col("import_line").alias("line"), F.col("import_line").alias("end_line"), F.col("imported_name").alias("callee"), F.col("imported_name").alias("name"), *[c.alias(n) for n, c in empty.items()])
-    every = plain.select(keep).unionByName(by_method.select(keep)).unionByName(uses.select(keep))
+    every = called.select(keep).unionByName(uses.select(keep))
     # max of a struct: resolved comes after name_only
     rest = [c for c in keep if c not in ("change_id", "target", "symbol", "path", "line", "kind", "callee")]
     best = every.groupBy("change_id", "target", "symbol", "path", "line", "kind", "callee").agg(F.max(F.struct("resolution", *[c for c in rest if c != "resolution"])).alias("b"))

@@ -129,6 +129,20 @@ def test_claims_lie_over_as_many_tasks_as_asked(spark):
 FILES = "change_id string, side string, path string, text string"
 
 
+def test_calls_meet_all_that_they_may_mean_in_one_join(spark):
+    from patchloom.plans.references import references, resolved_imports
+    from patchloom.sources.code import indexed
+    from patchloom.sources.tables import kept
+
+    lib = "import json as shadow\nclass C:\n    def go_on(self):\n        self.end_it()\n        free()\n        shadow()\n    def end_it(self):\n        pass\ndef free():\n    pass\n"
+    files = spark.createDataFrame([("c", "head", "m.py", lib), ("c", "head", "u.py", "import m\nfrom m import C as D, free\nD.end_it(1)\nm.free()\nfree()\nx.go_on()\n")], FILES)
+    index = kept(indexed(files, "symbols", "imports", "calls"), "calls-once")
+    got = references(index, kept(resolved_imports(index), "calls-once-imports"))
+    assert plan_of(got).count("Generate explode(calls") == 1
+    calls = sorted((r.path, r.line, r.target, r.symbol, r.resolution, r.drop_first) for r in got.where("kind = 'call'").collect())
+    assert calls == [("m.py", 4, "m.py", "C.end_it", "resolved", True), ("m.py", 5, "m.py", "free", "resolved", False), ("u.py", 3, "m.py", "C.end_it", "resolved", False), ("u.py", 4, "m.py", "free", "resolved", False), ("u.py", 5, "m.py", "free", "resolved", False), ("u.py", 6, "m.py", "C.go_on", "name_only", True)]
+
+
 def test_only_the_wanted_parts_of_an_index_are_handed_on(spark):
     from patchloom.sources.code import indexed
 
