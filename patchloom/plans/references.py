@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.code import SCRIPTS, language
+from ..sources.code import SCRIPTS, language, of_head
 from ..sources.python_code import part
 
 #: Names too common to mean one definition by themselves (fixed values).
@@ -89,7 +89,7 @@ def resolved_imports(index: DataFrame, files: DataFrame | None = None, paths: Da
     files (change_id, side, path, text) bring path aliases; paths (change_id, path) stand for the head's files.
     """
     # written tables compress so well that a plan by their size would send sides as large as the code to the driver
-    head = index.where("side = 'head'").hint("merge")
+    head = of_head(index).hint("merge")
     imports = part(head, "imports").select("change_id", "path", "line", "module", "imported_name", "local_name", "kind", "level")
     dotted = F.regexp_replace("module", r"\.", "/")
     up = F.when(F.col("level") <= 1, folder(F.col("path"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("level"), F.lit(1))), F.col("path"), lambda p, _: folder(p)))
@@ -130,15 +130,15 @@ def references(index: DataFrame, imports: DataFrame) -> DataFrame:
     counts once, as resolved if one of them is.
     """
     index, imports = index.hint("merge"), imports.hint("merge")
-    head = index.where("side = 'head'")
+    head = of_head(index)
     calls = part(head, "calls")
-    symbols = index.select("change_id", "path", F.explode("symbols").alias("s")).select("change_id", "path", "s.qualname", "s.name", "s.parent", "s.kind", "s.decorators").distinct()
+    symbols = index.select("change_id", "path", F.explode("symbols").alias("s")).select("change_id", "path", "s.qualname", "s.name", "s.parent", "s.kind", "s.decorators")
     keep = ["change_id", "target", "symbol", "path", "kind", "resolution", "drop_first", *CALL]
     at = imports.select("change_id", "path", "local_name", "imported_name", F.col("target").alias("to"), "refers", "module", F.col("kind").alias("how"), F.col("line").alias("import_line"))
     of_symbols = at.where("refers = 'symbol' and imported_name is not null and imported_name <> '*'")
     marked = lambda name: F.exists("decorators", lambda d: F.regexp_replace(d, r"\(.*", "").endswith(name))
     python = language(F.col("defined_in")) == "python"
-    methods = symbols.where("parent is not null and kind in ('method', 'function', 'test')").select("change_id", F.col("path").alias("defined_in"), "qualname", "name", "parent", marked("staticmethod").alias("static"), marked("classmethod").alias("of_class"))
+    methods = symbols.where("parent is not null and kind in ('method', 'function', 'test')").distinct().select("change_id", F.col("path").alias("defined_in"), "qualname", "name", "parent", marked("staticmethod").alias("static"), marked("classmethod").alias("of_class"))
     binds, bound = python & ~F.col("static"), python & F.col("of_class")
     itself = ("self", "cls", "this")
     class_name = F.regexp_extract("parent", r"[^.]+$", 0)
@@ -152,7 +152,9 @@ def references(index: DataFrame, imports: DataFrame) -> DataFrame:
     # join: n a plain name, m a module, c a class and its method, s a method of self, g a telling name alone
     spelled = F.when((F.col("how") == "module") & F.col("module").startswith(F.concat(F.col("local_name"), F.lit("."))), F.col("module")).otherwise(F.col("local_name"))
     there = methods.withColumn("imported_name", class_name).join(of_symbols.select("change_id", F.col("to").alias("defined_in"), "imported_name", F.col("path"), F.col("local_name").alias("receiver")), ["change_id", "defined_in", "imported_name"]).where("path <> defined_in")
-    single = symbols.where("kind in ('method', 'function')").groupBy("change_id", "name").agg(F.count_distinct("path", "qualname").alias("n")).where("n = 1").drop("n")
+    # one definition is both the least and the greatest, as in names
+    place = F.struct("path", "qualname")
+    single = symbols.where("kind in ('method', 'function') and path is not null").groupBy("change_id", "name").agg(F.min(place).alias("only"), F.max(place).alias("last")).where("only = last").select("change_id", "name")
     telling = single.where((F.length("name") >= 4) & ~F.col("name").isin(*COMMON_NAMES) & ~F.col("name").startswith("__"))
     defined, qualname, name = F.col("defined_in"), F.col("qualname"), F.col("name")
     meant = [

@@ -169,3 +169,30 @@ def test_scripts_are_found_by_the_few_paths_that_mean_them(spark):
     rows = {(r.key, r.target, r.tail) for r in got.collect()}
     assert {r for r in rows if r[0][0] == "@"} == {("@web/d/index.tsx", "web/d/index.tsx", 0), ("@web/d/index", "web/d/index.tsx", 2), ("@web/d", "web/d/index.tsx", 10), ("@web/d.js", "web/d.js", 0), ("@web/d", "web/d.js", 3), ("@a.ts.js", "a.ts.js", 0), ("@a.ts", "a.ts.js", 3), ("@index.ts", "index.ts", 0), ("@index", "index.ts", 1), ("@B.TS", "B.TS", 0)}
     assert {(k, t) for k, t, _ in rows if k[0] == "~"} == {("~m", "pkg/m.py"), ("~pkg/m", "pkg/m.py"), ("~tests/m", "tests/m.py"), ("~x/y", "x/y/__init__.py"), ("~z/y", "z/y.py")}
+
+
+BEFORE = "class A:\n    def work_with(self, a, b=1):\n        return a\ndef f(a, b=1):\n    return a\ndef g(a):\n    return a\ndef lone(a, b=1) -> int:\n    return a\ndef old_name(x):\n    return [q for q in range(x) if q > 1]\ndef gone():\n    pass\n"
+AFTER = "class A:\n    def work_with(self, a):\n        return a\ndef f(a):\n    return a\nasync def g(a):\n    return a\ndef lone(a, b=2) -> str:\n    return a\ndef new_name(x):\n    return [q for q in range(x) if q > 1]\n"
+USE = "from m import f, g, old_name\nf(1, b=2)\ng(1)\nx.work_with(1, b=2)\nold_name(3)\n"
+CONTRACT_FILES = [("c", s, p, t) for s, p, t in (("base", "m.py", BEFORE), ("head", "m.py", AFTER), ("base", "u.py", USE), ("head", "u.py", USE), ("base", "bad.py", "x = ("), ("head", "bad.py", "x = ("), ("base", "worse.py", ""), ("head", "worse.py", "x = ("))]
+
+
+def test_changes_and_uses_meet_once_for_all_contract_rules(spark):
+    from patchloom.plans.api_contract import CONTRACT, contract_findings
+    from patchloom.sources.code import indexed
+
+    got = contract_findings(indexed(spark.createDataFrame(CONTRACT_FILES, FILES).coalesce(1), *CONTRACT, once=True))
+    plan = plan_of(got)
+    assert plan.count("/references-") == 1 and plan.count("/named-changes-") <= 3
+    assert sorted((r.rule_id, r.severity, r.confidence, r.file, r.symbol or "", *r.evidence) for r in got.collect()) == [
+        ("CG-API-001", "high", "high", "m.py", "f", "u.py:2"), ("CG-API-001", "medium", "medium", "m.py", "A.work_with", "u.py:4"), ("CG-API-002", "critical", "high", "m.py", "old_name", "u.py:1", "u.py:5"), ("CG-API-004", "high", "high", "m.py", "g", "u.py:3"),
+        ("CG-API-005", "medium", "medium", "m.py", "lone"), ("CG-API-006", "low", "medium", "m.py", "lone"), ("CG-API-007", "low", "medium", "m.py", "gone"), ("CG-SYN-001", "critical", "high", "worse.py", ""),
+    ]
+
+
+def test_a_file_left_as_it_is_is_one_row(spark):
+    from patchloom.sources.code import indexed
+
+    files = spark.createDataFrame(CONTRACT_FILES, FILES).coalesce(1)
+    assert [(r.side, r.path) for r in indexed(files, "symbols", once=True).collect()] == [("base", "m.py"), ("head", "m.py"), ("both", "u.py"), ("both", "bad.py"), ("base", "worse.py"), ("head", "worse.py")]
+    assert indexed(files, "symbols").where("side = 'both'").count() == 0
