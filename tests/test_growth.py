@@ -196,3 +196,17 @@ def test_a_file_left_as_it_is_is_one_row(spark):
     files = spark.createDataFrame(CONTRACT_FILES, FILES).coalesce(1)
     assert [(r.side, r.path) for r in indexed(files, "symbols", once=True).collect()] == [("base", "m.py"), ("head", "m.py"), ("both", "u.py"), ("both", "bad.py"), ("base", "worse.py"), ("head", "worse.py")]
     assert indexed(files, "symbols").where("side = 'both'").count() == 0
+
+
+def test_symbols_are_compared_once_for_what_no_test_reaches(spark):
+    from patchloom.plans.api_contract import CONTRACT
+    from patchloom.plans.tests_mapping import untested
+    from patchloom.sources.code import indexed
+    from patchloom.sources.tables import kept
+
+    lib = "def a():\n    return {0}\ndef _b():\n    return {0}\ndef _c():\n    return {0}\ndef d():\n    return _b(), {0}\ndef e():\n    return a()\n"
+    test = "from lib import d, e\ndef test_it():\n    d()\n    e()\n"
+    files = [("c", "base", "lib.py", lib.format(1)), ("c", "head", "lib.py", lib.format(2)), ("c", "base", "test_lib.py", test), ("c", "head", "test_lib.py", test)]
+    got = untested(kept(indexed(spark.createDataFrame(files, FILES).coalesce(1), *CONTRACT, once=True), "compared-once"))
+    assert plan_of(got).count("Generate explode(symbols") == 1
+    assert sorted((r.symbol, r.severity) for r in got.collect()) == [("_c", "low"), ("a", "medium")]
