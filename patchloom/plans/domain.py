@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.patch_apply import head_files
 from ..sources.archive import snapshot_files
+from ..sources.code import indexed as of_known
 from ..sources.diff import diff_lines
 from ..sources.python_code import indexed, part
 from ..sources.tables import dealt, kept, table, tasks
@@ -72,7 +73,7 @@ def part_files(spark, sf_dir):
 def api_contract(spark, sf_dir):
     """J6, J9, J12, X11, X12, CG-API: callers that no longer fit a changed signature."""
     # every rule reads the index, so files are parsed once, by all cores; each then reads the columns that it needs
-    index = kept(indexed(part_files(spark, sf_dir), *CONTRACT), "code-index")
+    index = kept(of_known(part_files(spark, sf_dir), *CONTRACT, once=True), "code-index")
     return contract_findings(index).select("change_id", "rule_id", "file", "symbol", F.array_join("evidence", ",").alias("evidence"))
 
 
